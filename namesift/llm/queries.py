@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, topk
+from namesift.llm import bpe, ctw, topk
 from namesift.llm.common import table
 
 
@@ -40,8 +40,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op4_bpe": op4_bpe,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL}
