@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, ctw, topk
+from namesift.llm import bpe, ctw, quality, topk
 from namesift.llm.common import table
 
 
@@ -44,8 +44,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op10_lm_score": op10_lm_score,
 }
