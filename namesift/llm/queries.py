@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, ctw, quality, topk
+from namesift.llm import bpe, ctw, fingerprint, mixing, quality, topk
 from namesift.llm.common import table
 
 
@@ -48,10 +48,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_mixing": op5_mixing,
+    "op6_fingerprint": op6_fingerprint,
     "op10_lm_score": op10_lm_score,
 }
 ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL}
