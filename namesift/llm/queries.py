@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, ctw, fingerprint, mixing, quality, topk
+from namesift.llm import bpe, ctw, fingerprint, mixing, neardup, quality, topk
 from namesift.llm.common import table
 
 
@@ -56,12 +56,37 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN t
+             ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+f AS (SELECT x, count(*) AS df FROM e GROUP BY x),
+p AS (SELECT e.doc_id, e.n, e.x, row_number() OVER (PARTITION BY e.doc_id ORDER BY f.df, e.x) AS k FROM e JOIN f USING (x)),
+h AS (SELECT * FROM p WHERE k <= n - CAST(ceil(0.8 * n - 1e-9) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM h a JOIN h b ON a.x = b.x AND a.doc_id < b.doc_id
+      AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT c.a, c.b FROM c JOIN e x ON x.doc_id = c.a JOIN e y ON y.doc_id = c.b AND y.x = x.x
+      GROUP BY c.a, c.b, c.na, c.nb HAVING 100 * count(*) >= 80 * (c.na + c.nb - count(*))),
+g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, g.b FROM r JOIN g ON r.y = g.a),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m ON m.x = s.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_fingerprint": op6_fingerprint,
+    "op8_neardup": op8_neardup,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op8_neardup": OP8_SQL}
