@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, ctw, fingerprint, mixing, neardup, quality, topk
+from namesift.llm import bpe, ctw, fingerprint, licences, mixing, neardup, quality, secrets, topk
 from namesift.llm.common import table
 
 
@@ -80,13 +80,75 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_i
 """
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.detect(table(spark, sf_dir, "documents"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _op2_sql() -> str:
+    known = "CASE " + " ".join(f"WHEN regexp_matches(s, {_quoted(k.pattern)}) THEN {_quoted(k.id)}" for k in licences.SENTENCES) + " ELSE '' END"
+    steps = []
+    for i, r in enumerate(licences.RULES):
+        pattern, before = _quoted(" " + " +".join(r.sequence) + " "), f"r{i - 1}" if i else "r_"
+        steps.append(
+            f"r{i} AS (SELECT k, list_append(found, CASE WHEN regexp_matches(j, {pattern}) THEN {_quoted(r.licence)} END) AS found, "
+            f"regexp_replace(j, {pattern}, ' # ', 'g') AS j FROM {before})"
+        )
+    n = len(licences.RULES)
+    end, hint = _quoted(licences.END), _quoted(licences.HINT)
+    norm = "trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.+-]+', ' ', 'g'), ' .-')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT k, unnest(string_split_regex(t, {end})) AS x, generate_subscripts(string_split_regex(t, {end}), 1) AS i FROM d WHERE regexp_matches(t, {hint})),
+q AS (SELECT k, i, {norm} AS s FROM p WHERE regexp_matches(x, {hint})),
+c AS (SELECT k, i, {known} AS id FROM q),
+g AS (SELECT k, list(id ORDER BY i) AS ids FROM c WHERE id <> '' GROUP BY k),
+r_ AS (SELECT k, [] :: VARCHAR[] AS found, ' ' || list_aggregate(ids, 'string_agg', '  ') || ' ' AS j FROM g),
+{", ".join(steps)},
+u AS (SELECT k, unnest(found) AS l, generate_subscripts(found, 1) AS i FROM r{n - 1}),
+f AS (SELECT k, l, min(i) AS i FROM u WHERE l IS NOT NULL GROUP BY k, l),
+h AS (SELECT k, string_agg(l, ',' ORDER BY i) AS licences FROM f GROUP BY k)
+SELECT d.doc_id, CAST(coalesce(len(g.ids), 0) AS BIGINT) AS n_sentences, coalesce(list_aggregate(g.ids, 'string_agg', ','), '') AS sentence_ids, coalesce(h.licences, '') AS licences
+FROM d LEFT JOIN g USING (k) LEFT JOIN h USING (k)
+"""
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    scans = " UNION ALL ".join(
+        f"SELECT k, {i} AS o, {_quoted(r.kind)} AS kind, {r.least} AS least, regexp_extract_all(t, {_quoted(r.pattern)}, 0) AS m, regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) AS v, string_split_regex(t, {_quoted(r.pattern)}) AS g FROM d WHERE regexp_matches(t, {_quoted(r.pattern)})"
+        for i, r in enumerate(secrets.RULES)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({scans}),
+x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM s),
+y AS (SELECT k, o, kind, CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS a,
+             length(m[i]) AS n FROM x WHERE length(v[i]) >= least),
+z AS (SELECT k, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
+             string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) FILTER (WHERE o < 3) AS base,
+             string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans FROM y GROUP BY k)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN z USING (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_licences": op2_licences,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_fingerprint": op6_fingerprint,
     "op8_neardup": op8_neardup,
+    "op9_secrets": op9_secrets,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op8_neardup": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op8_neardup": OP8_SQL, "op9_secrets": _op9_sql(), "op2_licences": _op2_sql()}
