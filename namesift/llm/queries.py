@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, ctw, fingerprint, licences, mixing, neardup, quality, secrets, topk
+from namesift.llm import bpe, ctw, fingerprint, licences, linedup, mixing, neardup, quality, secrets, topk
 from namesift.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op7_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -147,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_fingerprint": op6_fingerprint,
+    "op7_linedup": op7_linedup,
     "op8_neardup": op8_neardup,
     "op9_secrets": op9_secrets,
     "op10_lm_score": op10_lm_score,
