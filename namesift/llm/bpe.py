@@ -76,6 +76,7 @@ class Codec:
         self.path, self.library = path, None
         self.id_texts: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
+        self.packed: dict[str, bytes] = {}
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
@@ -212,15 +213,21 @@ class Codec:
                 yield self.digest(self.parts(texts[at]))
             at = end
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        out = []
         for words, special in self.parts(text):
             if special:
-                out.append(self.special[words[0]])
-            else:
-                for ids in self.words(words)[0]:
-                    out += ids
-        return out
+                out.append(np.array([self.special[words[0]]], np.int32).tobytes())
+                continue
+            new = set(words) - self.packed.keys()
+            if len(self.packed) + len(new) > CACHED_WORDS:
+                self.packed.clear()
+                new = set(words)
+            new = list(new)
+            for w, ids in zip(new, self.words(new)[0], strict=True):
+                self.packed[w] = np.array(ids, np.int32).tobytes()
+            out.append(b"".join(map(self.packed.__getitem__, words)))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -263,8 +270,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
         codec = _codec(path)
         for b in batches:
             ids = [codec.encode(t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             keep = [i for i, f in enumerate(b.schema.names) if f != out]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(ids, pa.list_(pa.int32()))], [*(b.schema.names[i] for i in keep), out])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))], [*(b.schema.names[i] for i in keep), out])
 
     return docs.mapInArrow(run, docs.drop(out).withColumn(out, F.lit(None).cast("array<int>")).schema)
 
