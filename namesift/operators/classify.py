@@ -58,8 +58,8 @@ def check_packages(df: DataFrame, key: str, contexts: dict[str, tuple[str, str,
             aggs.append(F.array_sort(F.collect_list(kept)).alias(out))
     by = flagged.groupBy(key).agg(*aggs)
     outs = [x for _, v, h in contexts.values() for x in (v, h)]
-    by = by.select(F.col(key).alias("__key"), *(F.transform(o, lambda s: s["name"]).alias(o) for o in outs))
-    x = df.drop(*outs).join(by, F.col(key) == F.col("__key"), "left").drop("__key")
+    by = by.select(F.col(key).alias("__of"), *(F.transform(o, lambda s: s["name"]).alias(o) for o in outs))
+    x = df.drop(*outs).join(by, F.col(key) == F.col("__of"), "left").drop("__of")
     return x.select(*(F.coalesce(F.col(c), lists.empty()).alias(c) if c in outs else F.col(f"`{c}`") for c in x.columns))
 
 
@@ -92,6 +92,6 @@ def classify_imports(df: DataFrame, key: str, modules: str, whitelist: DataFrame
     rows = x.select(key, F.posexplode("__mods").alias("pos", "name")).join(F.broadcast(std), F.col("name") == F.col("std"), "left_anti")
     flagged = flag(rows, whitelist, false_positives, normalize_python_package(F.coalesce(F.try_element_at(alias, F.col("name")), F.col("name"))))
     side = lambda v: F.transform(F.array_sort(F.collect_list(F.when(F.col("is_valid") == v, F.struct("pos", "name")))), lambda s: s["name"])
-    by = flagged.groupBy(F.col(key).alias("__key")).agg(side(True).alias("import_valid"), side(False).alias("import_hallucinated"))
-    x = x.drop("__mods", "import_valid", "import_hallucinated").join(by, F.col(key) == F.col("__key"), "left").drop("__key")
+    by = flagged.groupBy(F.col(key).alias("__of")).agg(side(True).alias("import_valid"), side(False).alias("import_hallucinated"))
+    x = x.drop("__mods", "import_valid", "import_hallucinated").join(by, F.col(key) == F.col("__of"), "left").drop("__of")
     return x.withColumns({c: F.coalesce(c, lists.empty()) for c in ("import_valid", "import_hallucinated")})

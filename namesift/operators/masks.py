@@ -101,7 +101,8 @@ def padded(df: DataFrame, batch_size: int, pad: int = 0, multiple: int = 8, key:
 def name_token_spans(packages_info: Column, tokens: Column, prompt_size: Column) -> Column:
     """For each name its token positions, the first of them, and the token before it (the prompt's last one for the first name).
 
-    A name that no token overlaps takes the token that begins nearest to it, the first of equals.
+    A name that no token overlaps takes the token that begins nearest to it, the first of equals. tokens must be a
+    column that is there already: lambda functions cannot hold a tokenizer's call.
     """
     numbered = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t["s"].alias("s"), t["e"].alias("e")))
 
