@@ -3,8 +3,8 @@
 Two collections of SIDE keys, each of WIDTH minhashes, stand for SIDE * SIDE tables: table (i, j) is keyed by key i
 of the first and key j of the second. Rows meet by the first key alone; pairs of keys are formed where they lie, so
 2 * SIDE * WIDTH minhashes do the work of SIDE**2 * 2 * WIDTH. Equal sets are one before that. In each bucket only
-links to the first member are emitted; buckets that still hold several components after verification are gone
-through again, some members at a time, so that no link between different texts is lost.
+links to one member, the most central, are emitted and verified on full sets. Members of different components that met the same leader are then paired where what they
+share with it, and besides it, leaves a link possible, so that no link between different texts of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesift.llm import blocks
-from namesift.llm.common import discard, materialise, small_batches
+from namesift.llm.common import discard, materialise, release, small_batches
 
 SIDE, WIDTH = 16, 3
-#: Members of a bucket that meet all later ones in one further round.
-LEADERS = 64
+#: Rows that meet in one go.
+GROUP_ROWS = 65_536
 #: Ids of documents whose texts are fetched by a broadcast of the ids; more are fetched by a shuffle.
 BROADCAST_IDS = 200_000
 _RNG = np.random.default_rng(20240607)
@@ -86,111 +86,126 @@ def _sign(width: int):
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each first key of a set."""
     for b in batches:
-        ids, n, comp = (b.column(i).to_numpy() for i in range(3))
-        first = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64)
-        second = b.column(4).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array(blocks.mix(first + np.tile(np.arange(SIDE, dtype=np.uint64), len(ids))).view(np.int64)), pa.array(np.repeat(ids, SIDE)), pa.array(np.repeat(n, SIDE)), pa.array(np.repeat(comp, SIDE)), pa.array([x for x in second for _ in range(SIDE)], pa.binary())], ["key", "id", "n", "comp", "second"])
+        first = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64)
+        key = blocks.mix(first + np.tile(np.arange(SIDE, dtype=np.uint64), b.num_rows)).view(np.int64)
+        at = pa.array(np.repeat(np.arange(b.num_rows), SIDE))
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(at), b.column(1).take(at), b.column(3).take(at)], ["key", "id", "n", "second"])
 
 
-def _meet(low: int, high: int, threshold: float):
-    """Pairs of a bucket whose earlier member ranks from low to high - 1 in it (ids rising) and whose components differ.
+def _meet(threshold: float):
+    """(a, b): a bucket's most central member with each other member of it, where the sizes let them be linked.
 
-    Rows come sorted by key, then id. A group of one first key that goes on over batches leaves, for each of its
-    buckets, the number of members so far and those of them that lead.
+    Rows come sorted by key. Central is who shares most of the second keys with the others under its first key, of
+    equals the smallest id. Groups of one first key are taken whole; of one with more than GROUP_ROWS members the
+    leaders so far lead on in the parts after.
     """
 
+    def pairs(key, ids, n, second, leads) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs, rows that lead)."""
+        bucket = blocks.mix(key.view(np.uint64)[:, None] ^ blocks.mix((second.astype(np.uint64) << np.uint64(8)) | np.arange(SIDE, dtype=np.uint64))).ravel()
+        row = np.repeat(np.arange(len(ids)), SIDE)
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+        lens = np.diff(np.append(starts, bucket.size))
+        central = np.bincount(row[order], weights=np.repeat(lens, lens))
+        place = np.empty(len(ids), np.int64)
+        place[np.lexsort((ids, -central, ~leads))] = np.arange(len(ids))
+        order = order[np.lexsort((place[row[order]], np.repeat(np.arange(lens.size), lens)))]
+        many = lens > 1
+        first = np.repeat(row[order[starts[many]]], lens[many] - 1)
+        inside = np.repeat(many, lens)
+        inside[starts] = False
+        other = row[order[inside]]
+        fits = (np.minimum(n[first], n[other]) >= threshold * np.maximum(n[first], n[other]) - 1e-9) & (ids[first] != ids[other])
+        return np.unique(np.column_stack([ids[first[fits]], ids[other[fits]]]), axis=0), np.unique(row[order[starts]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leads: dict[int, list] = {}  # bucket of the group that goes on: [members so far, leaders]
-        last_key = None
-        for b in batches:
-            key = b.column(0).to_numpy()
-            if not key.size:
-                continue
-            ids, n, comp = (b.column(i).to_numpy() for i in (1, 2, 3))
-            if last_key is not None and key[0] != last_key:
-                leads = {}
-            carried = bool(leads)
-            same = key[1:] == key[:-1]
+        held: list[tuple] = []
+        rows = 0
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SIDE), np.uint32))
+        carry = empty
+
+        def out(found):
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
+
+        def flush(last: bool):
+            nonlocal held, rows, carry
+            part = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            key = part[0]
+            whole = key.size if last else np.searchsorted(key, key[-1])  # rows of the last key may go on
+            if carry[0].size and (whole == 0 or key[0] != carry[0][0]) and key[0] != carry[0][0]:
+                carry = empty
+            if whole == 0 and key.size < GROUP_ROWS:
+                held, rows = [part], key.size
+                return
+            end = whole or key.size
+            now = tuple(np.concatenate([c, x[:end]]) for c, x in zip(carry, part, strict=True))
+            leads = np.arange(now[0].size) < carry[0].size
+            same = now[0][1:] == now[0][:-1]
             shared = np.append(False, same) | np.append(same, False)
-            tail = key == key[-1]
-            goes_on = shared | tail | (carried & (key == key[0]))
-            rows = np.flatnonzero(goes_on)
-            second = np.frombuffer(b"".join(b.column(4).take(pa.array(rows)).to_pylist()), np.uint32).reshape(-1, SIDE).astype(np.uint64)
-            bucket = blocks.mix(key[rows].view(np.uint64)[:, None] ^ blocks.mix((second << np.uint64(8)) | np.arange(SIDE, dtype=np.uint64)))
-            flat, row = bucket.ravel(), np.repeat(rows, SIDE)
-            order = np.argsort(flat, kind="stable")
-            flat, row = flat[order], row[order]
-            starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            lens = np.diff(np.append(starts, flat.size))
-            left, right = [], []
-            head_key, tail_key = key[0], key[-1]
-            at_edge = (key[row[starts]] == tail_key) | (carried & (key[row[starts]] == head_key))
-            plain = (lens > 1) & ~at_edge
-            for lead in range(low, high):  # the run's member of this rank against all after it
-                at = np.flatnonzero(plain & (lens > lead + 1))
-                if not at.size:
-                    break
-                many = lens[at] - lead - 1
-                left.append(np.repeat(row[starts[at] + lead], many))
-                right.append(row[np.repeat(starts[at] + lead + 1, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
-            a, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-            a_id, a_n, a_comp, c_id, c_n, c_comp = ids[a], n[a], comp[a], ids[c], n[c], comp[c]
-            if at_edge.any():
-                extra = []
-                new_leads: dict[int, list] = {}
-                for s, k in zip(starts[at_edge], lens[at_edge], strict=True):
-                    own = key[row[s]]
-                    seen, leaders = leads.get(int(flat[s]), [0, []]) if carried and own == head_key else [0, []]
-                    for r in row[s : s + k]:
-                        extra += [(*x, ids[r], n[r], comp[r]) for x in leaders]
-                        if low <= seen < high:
-                            leaders.append((ids[r], n[r], comp[r]))
-                        seen += 1
-                    if own == tail_key:
-                        new_leads[int(flat[s])] = [seen, leaders]
-                if tail_key == head_key and carried:
-                    leads |= new_leads
-                else:
-                    leads = new_leads
-                if extra:
-                    e = np.array(extra)
-                    a_id, a_n, a_comp, c_id, c_n, c_comp = (np.concatenate([x, e[:, i]]) for i, x in enumerate((a_id, a_n, a_comp, c_id, c_n, c_comp)))
-            else:
-                leads = {}
-            last_key = tail_key
-            fits = (a_comp != c_comp) & (np.minimum(a_n, c_n) >= threshold * np.maximum(a_n, c_n) - 1e-9)
-            pairs = np.unique(np.column_stack([a_id[fits], c_id[fits]]), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            carry = empty
+            if shared.any():
+                now = tuple(x[shared] for x in now)
+                found, lead = pairs(*now, leads[shared])
+                yield from out(found)
+                if not whole:
+                    carry = tuple(x[lead] for x in now)
+            rest = tuple(x[end:] for x in part)
+            held, rows = ([rest], rest[0].size) if rest[0].size else ([], 0)
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, SIDE)))
+                rows += b.num_rows
+                if rows >= GROUP_ROWS:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
 
     return run
 
 
 def _verify(width: int, percent: int):
+    """(a, b, ok, o, nb, extra): whether they are linked, shingles that both have, those of b, and 32 bits of each that b alone has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
-            texts = [t.encode() for t in b.column(2).to_pylist()], [t.encode() for t in b.column(3).to_pylist()]
-            ok = np.zeros(len(a), bool)
-            at = 0
-            while at < len(a):
+            texts = [[t.encode() for t in b.column(i).to_pylist()] for i in (2, 3)]
+            total, at = b.num_rows, 0
+            ok, o, nb, extra = np.zeros(total, bool), np.zeros(total, np.int64), np.zeros(total, np.int64), []
+            while at < total:
                 end, size = at, 0
-                while end < len(a) and (end == at or size < blocks.BLOCK):
+                while end < total and (end == at or size < blocks.BLOCK):
                     size += len(texts[0][end]) + len(texts[1][end])
                     end += 1
                 k = end - at
                 text, h = shingle_sets(texts[0][at:end] + texts[1][at:end], width)
                 n = np.bincount(text, minlength=2 * k)
-                text = text % k
-                order = np.lexsort((h, text))
-                both = np.bincount(text[order][1:][(h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])], minlength=k)
-                ok[at:end] = 100 * both >= percent * (n[:k] + n[k:] - both)
+                order = np.lexsort((text, h, text % k))
+                text, h = text[order], h[order]
+                twice = np.append((h[1:] == h[:-1]) & (text[1:] % k == text[:-1] % k), False)
+                both = np.bincount(text[twice] % k, minlength=k)
+                ok[at:end], o[at:end], nb[at:end] = 100 * both >= percent * (n[:k] + n[k:] - both), both, n[k:]
+                alone = (text >= k) & ~np.append(False, twice[:-1])
+                own, of = (h[alone] >> np.uint64(32)).astype(np.uint32), text[alone] - k
+                ends = np.searchsorted(of, np.arange(k + 1))
+                extra += [own[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 at = end
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], ["a", "b", "ok"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok), pa.array(o), pa.array(nb), pa.array(extra, pa.binary())], ["a", "b", "ok", "o", "nb", "extra"])
 
     return run
 
 
+def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each of the extra shingles."""
+    for b in batches:
+        x = [np.frombuffer(e, np.uint32) for e in b.column(2).to_pylist()]
+        n = [len(e) for e in x]
+        at = pa.array(np.repeat(np.arange(b.num_rows), n))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([np.empty(0, np.uint32), *x]).astype(np.int64))], ["a", "b", "e"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for every id in links (a, b): comp is the smallest id it is connected with.
 
@@ -220,12 +235,12 @@ class _Search:
         given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
         self.signed = materialise(given.mapInArrow(_sign(width), "doc_id long, th long, n long, s1 long, s2 long, first binary, second binary"), "signatures")
         alike = self.signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2")
-        self.sets = materialise(alike.agg(F.min("doc_id").alias("id"), F.min_by("th", "doc_id").alias("th"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")).withColumn("comp", F.col("id")), "sets")
+        self.sets = materialise(alike.agg(F.min("doc_id").alias("id"), F.min_by("th", "doc_id").alias("th"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "sets")
 
-    def candidates(self, sets: DataFrame, low: int, high: int) -> DataFrame:
-        rows = sets.select("id", "n", "comp", "first", "second").mapInArrow(_bands, "key long, id long, n long, comp long, second binary")
+    def candidates(self) -> DataFrame:
+        rows = self.sets.select("id", "n", "first", "second").mapInArrow(_bands, "key long, id long, n long, second binary")
         dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-        return dealt.mapInArrow(_meet(low, high, self.percent / 100), "a long, b long").where("a < b").distinct()
+        return dealt.mapInArrow(_meet(self.percent / 100), "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(self.sets.select("id", "th"), "id")
@@ -234,42 +249,53 @@ class _Search:
         same = (F.col("doc_id").cast("long") == F.col("need_id")) & (F.xxhash64("text") == F.col("need_th"))
         texts = materialise(self.docs.select("doc_id", "text").join(need, same).select(F.col("need_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-        out = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify(self.width, self.percent), "a long, b long, ok boolean"), "verified")
+        out = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify(self.width, self.percent), "a long, b long, ok boolean, o long, nb long, extra binary"), "verified")
         discard(texts)
         return out
 
+    def apart(self, tested: DataFrame, comps: DataFrame) -> DataFrame:
+        """Pairs (a, b) around one leader that are not in one component yet and can still be linked.
+
+        For two members y and s of leader l's buckets, |y & s| <= min(|y & l|, |s & l|) + the shingles besides l's that
+        both have, and a link takes t / (1 + t) * (|y| + |s|) shared ones. So y and s either share a shingle that l has
+        not (found by a join over the rarest of these, as many as must hold a shared one), or both are short enough
+        for what they share with l. Only leaders with members of other components are looked at.
+        """
+        of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+        x = tested.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"a_comp": F.coalesce("a_comp", "a"), "b_comp": F.coalesce("b_comp", "b")})
+        mixed = x.where("a_comp <> b_comp").select("a").distinct()
+        x = materialise(x.join(mixed, "a", "left_semi").select("a", "b", "o", F.col("nb").alias("n"), F.col("b_comp").alias("c"), (F.col("a_comp") != F.col("b_comp")).alias("stray"), "extra"), "around")
+        t, one = self.percent, 100 + self.percent
+        unfolded = x.select("a", "b", "extra").mapInArrow(_unfold, "a long, b long, e long")
+        common = unfolded.groupBy("a", "e").agg(F.count("*").alias("df")).where("df > 1")
+        shared = unfolded.join(common, ["a", "e"]).withColumn("later", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("df"), "e")) - 1)
+        # of two members with `least` extras in common one is not among the least - 1 most common ones
+        least = F.expr(f"greatest(1, ceil({t} * n / 100.0) - o)")
+        rows = shared.join(x.drop("extra"), ["a", "b"]).where(F.col("later") >= least - 1)
+        y, s_ = rows.select("a", "e", *(F.col(c).alias(f"y_{c}") for c in ("b", "o", "n", "c", "stray"))), rows.select("a", "e", *(F.col(c).alias(f"s_{c}") for c in ("b", "o", "n", "c", "stray")))
+        other = F.expr("y_b < s_b and y_c <> s_c and (y_stray or s_stray)") & F.expr(f"100 * least(y_n, s_n) >= {t} * greatest(y_n, s_n)")
+        most = F.expr(f"{one} * (least(y_o, s_o) + least(y_n - y_o, s_n - s_o)) >= {t} * (y_n + s_n)")
+        by_extra = y.join(s_, ["a", "e"]).where(other & most).select("y_b", "s_b")
+        short = x.where(f"100 * o >= {t} * n")
+        y, s_ = (short.select("a", *(F.col(c).alias(f"{k}_{c}") for c in ("b", "o", "n", "c", "stray"))) for k in "ys")
+        by_size = y.where("y_stray").join(s_, "a").where(F.expr(f"y_c <> s_c and {one} * least(y_o, s_o) >= {t} * (y_n + s_n)")).select(F.least("y_b", "s_b").alias("y_b"), F.greatest("y_b", "s_b").alias("s_b"))
+        return by_extra.unionByName(by_size).distinct().select(F.col("y_b").alias("a"), F.col("s_b").alias("b"))
+
     def run(self) -> DataFrame:
         """(id, comp) of the sets that have a link."""
-        pairs = materialise(self.candidates(self.sets, 0, 1), "pairs")
+        pairs = materialise(self.candidates(), "pairs")
+        release(self.spark)
         tested = self.verified(pairs)
         links = tested.where("ok").select("a", "b")
         comps = materialise(components(links), "components")
-        low = 1
-        while True:
-            # only buckets whose first member met one of another component can hold more links
-            of = comps.select(F.col("id").alias("x"), F.col("comp").alias("x_comp"))
-            apart = tested.where("not ok").join(of.withColumnsRenamed({"x": "a", "x_comp": "a_comp"}), "a", "left").join(of.withColumnsRenamed({"x": "b", "x_comp": "b_comp"}), "b", "left")
-            apart = apart.where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b"))
-            if low == 1:
-                first = apart.select("a").distinct()
-                around = first.select(F.col("a").alias("id")).unionByName(tested.join(first, "a").select(F.col("b").alias("id"))).distinct()
-                around = materialise(around, "around")
-            if around.isEmpty():
-                return comps
-            again = self.sets.drop("comp").join(around, "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            pairs = materialise(self.candidates(again, low, low + LEADERS), "pairs")
-            if not pairs.isEmpty():
-                more = self.verified(pairs).where("ok").select("a", "b")
-                links = materialise(links.unionByName(more), "links")
-                comps = materialise(components(links), "components")
-            low += LEADERS
-            if self.longest(again) <= low:
-                return comps
-
-    def longest(self, sets: DataFrame) -> int:
-        """At least the number of members of any bucket among these sets."""
-        keys = sets.select("id", "n", "comp", "first", "second").mapInArrow(_bands, "key long, id long, n long, comp long, second binary")
-        return keys.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("comp").alias("k")).where("k > 1").agg(F.max("n")).first()[0] or 0
+        rest = materialise(self.apart(tested, comps), "pairs")
+        release(self.spark)
+        if rest.isEmpty():
+            return comps
+        more = self.verified(rest).where("ok").select("a", "b")
+        if more.isEmpty():
+            return comps
+        return materialise(components(links.unionByName(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

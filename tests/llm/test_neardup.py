@@ -56,9 +56,10 @@ def test_against_brute_force(spark, width, batch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
-def test_large_group_without_a_common_link(spark, monkeypatch):
-    """Many members in one bucket whose first is unlike most of them, met a few at a time."""
-    monkeypatch.setattr(neardup, "LEADERS", 2)
+@pytest.mark.parametrize("rows", [16, 65_536])
+def test_large_group_without_a_common_link(spark, monkeypatch, rows):
+    """Many members in one bucket whose first is unlike most of them, met whole or in parts."""
+    monkeypatch.setattr(neardup, "GROUP_ROWS", rows)
     rnd = random.Random(5)
     base = [f"b{k}" for k in range(60)]
     data = []
