@@ -142,9 +142,10 @@ def copies(docs: DataFrame, seed: int = 1) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """docs with each row as often as its copies say; the columns of docs."""
-    c = copies(docs, seed).where("copies > 0").select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), F.col("source").alias("c_source"), "copies").hint("shuffle_hash")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("c_id")) & F.xxhash64("text").eqNullSafe(F.col("c_h")) & F.col("source").cast("string").eqNullSafe(F.col("c_source"))
-    return docs.join(c, same).withColumn("c_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[x] for x in docs.columns])
+    c = copies(docs, seed).where("copies > 0").select(*(F.col(x).alias(f"__mix_{x}") for x in ("doc_id", "h", "source", "copies"))).hint("shuffle_hash")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_doc_id")) & F.xxhash64("text").eqNullSafe(F.col("__mix_h")) & F.col("source").cast("string").eqNullSafe(F.col("__mix_source"))
+    repeated = docs.join(c, same).withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))))
+    return repeated.drop("__mix_doc_id", "__mix_h", "__mix_source", "__mix_copies", "__mix_i")
 
 
 def report(docs: DataFrame, seed: int = 1) -> DataFrame:

@@ -318,9 +318,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with the first document of each group of near-duplicates alone, once; the columns of docs. Rows without an id stay."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
     ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
     if ids.isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

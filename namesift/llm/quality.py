@@ -142,13 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, modulus: int = 4
     return Voter(x[order], y[order])
 
 
-def score(docs: DataFrame, voter: Voter, threshold: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1, higher: better) and predicted (1 from `threshold` on). Each row by its whole text; null and empty texts and texts of white space score 0."""
+def score(docs: DataFrame, voter: Voter, threshold: float = 0.7, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1, higher: better) and predicted (1 from `threshold` on), under the names of `out`, which replace columns of these names. Each row by its whole text; null and empty texts and texts of white space score 0."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(voter)
+    docs = docs.drop(*out)
     at = docs.columns.index("text")
-    schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    schema = docs.withColumns({out[0]: F.lit(0.0), out[1]: F.lit(0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +164,7 @@ def score(docs: DataFrame, voter: Voter, threshold: float = 0.7) -> DataFrame:
                 scores += sent.value.vote(terms(raw[start:end])).tolist()
                 start = end
             s = np.array(scores)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, *out])
 
     return docs.mapInArrow(run, schema)
 

@@ -89,6 +89,7 @@ class Ledger:
 
     def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, version: int = VERSION) -> None:
         """Scan every text of docs (doc_id, text) that these rules have not seen. Findings are written before the scans, so a run that broke off is made good by the next."""
+        docs = docs.select("doc_id", "text")
         held = docs.select("doc_id", blob().alias("blob"))
         unseen = held.groupBy("blob").agg(F.min("doc_id").alias("rep_id")).join(self.scans().where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
         seen = self.scans().where(F.col("rule_version") == version)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from namesift.llm import bpe, licences, linedup, mixing, neardup, quality, queries, secrets
+from namesift.llm import bpe, ctw, fingerprint, licences, linedup, mixing, neardup, quality, queries, secrets
 from namesift.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -124,10 +124,13 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_on_odd_rows(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta. iota kappa lambda mu."
-    docs = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, text, "en", None, 9), (3, text, "en", None, 9), (None, text, "en", "a", 9)], DOCS).withColumn("component_id", F.lit("x")).withColumn("copies", F.lit(1))
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+    docs = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, text, "en", None, 9), (3, text, "en", None, 9), (None, text, "en", "a", 9)], DOCS)
+    docs = docs.withColumns({c: F.lit(1) for c in ("score", "predicted", "gone", "n_lines", "th", "sid", "component_id", "gone_id", "copies", "h", "size", "token_ids", "n_tokens", "decoded")})
+    for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         out.collect()
     assert linedup.dedup(docs.limit(0)).count() == 0
+    for f in (ctw.score, secrets.digest, licences.detect, fingerprint.compare_neighbours, mixing.report, neardup.near_duplicates, linedup.report):
+        assert f(docs).count() == 5, f
     assert corpus_pipeline.encode(spark, docs, SF).count() == 5
