@@ -8,6 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def row_numbers(df: DataFrame, key: str, out: str, parts: int | None = None) -> DataFrame:
+    """df with out: the number of each row from 0 in the order of a numeric key; ties in any order.
+
+    No task sees all rows: ranges of the key are cut at approximate quantiles, counted, and numbered each by itself.
+    """
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    cuts = sorted(set(df.where(F.col(key).isNotNull()).stat.approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(key) >= c)) + 1 if cuts else F.lit(1), F.lit(0))
+    x = df.withColumn("__range", F.when(F.col(key).isNull(), 0).otherwise(at))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return x.withColumn(out, inside).join(F.broadcast(base), "__range").withColumn(out, F.col(out) + F.col("__base")).drop("__range", "__base")  # one row for each range
+
+
 def positional_merge(frames: dict[str, DataFrame], key: str = "row_id") -> DataFrame:
     """One row for each row number of any frame; columns missing on one side are null. Of columns of one name the later stays."""
     def join(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -43,8 +59,7 @@ def into_slots(df: DataFrame, names: str = "names", valid: str = "valid", halluc
 
 def paired_batches(forget: DataFrame, retain: DataFrame, size: int, cycle: bool = True, key: str = "row_id") -> DataFrame:
     """(step, side, row) of batches that go side by side: the shorter side starts over, or both stop with it."""
-    w = Window.orderBy(key)
-    numbered = {s: d.select(((F.row_number().over(w) - 1) / size).cast("long").alias("batch"), F.struct(*d.columns).alias("row")) for s, d in (("forget", forget), ("retain", retain))}
+    numbered = {s: row_numbers(d, key, "__i").select((F.col("__i") / size).cast("long").alias("batch"), F.struct(*d.columns).alias("row")) for s, d in (("forget", forget), ("retain", retain))}
     n = {s: (d.agg(F.max("batch")).first()[0] or -1) + 1 if d.head(1) else 0 for s, d in numbered.items()}
     steps = max(n.values()) if cycle else min(n.values())
     if not all(n.values()):

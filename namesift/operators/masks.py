@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from namesift.boundary import Tokenizer
 from namesift.functions import lists, prompts
 from namesift.functions.text import normalize_package
+from namesift.operators.align import row_numbers
 
 SPANS = ArrayType(StructType([StructField("s", IntegerType()), StructField("e", IntegerType())]))
 IGNORE = -100
@@ -91,7 +92,7 @@ def mask_counts(df: DataFrame, by: str | None = None) -> DataFrame:
 
 def padded(df: DataFrame, batch_size: int, pad: int = 0, multiple: int = 8, key: str = "row_id") -> DataFrame:
     """df with batch_id and arrays padded on the right to the batch's longest, rounded up: ids by `pad`, labels by -100, masks by 0. multiple=1 does not round."""
-    x = df.withColumn("batch_id", ((F.row_number().over(Window.orderBy(key)) - 1) / batch_size).cast("long"))
+    x = row_numbers(df, key, "batch_id").withColumn("batch_id", (F.col("batch_id") / batch_size).cast("long"))
     longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
     x = x.withColumn("__to", (F.ceil(longest / multiple) * multiple).cast("int"))
     fill = {"input_ids": pad, "attention_mask": 0, "labels": IGNORE, "tri_mask": 0}

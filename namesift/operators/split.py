@@ -14,6 +14,24 @@ def order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
+def hash_head(keys: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """The n keys that come first in the order of their hashes, and no global sort for it.
+
+    Keys are counted by the first 16 bits of the hash; whole buckets below the last one are in, and only that bucket
+    is sorted.
+    """
+    x = keys.withColumn("__h", order_key(seed, F.col(key))).withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    left, cut = n, -1
+    for b, k in sorted(map(tuple, x.groupBy("__b").count().collect())):  # at most 65536 rows
+        cut = b
+        if k >= left:
+            break
+        left -= k
+    below = x.where(F.col("__b") < cut)
+    last = x.where(F.col("__b") == cut).orderBy("__h", key).limit(max(0, left))
+    return below.unionByName(last).drop("__h", "__b")
+
+
 def unique_prompts(df: DataFrame, prompt: str = "Prompts", by: str | None = None) -> DataFrame:
     """Distinct stripped prompts with the number of their first row, for each value of `by`."""
     x = df.where(F.col(prompt).isNotNull()).withColumn("prompt", strip(F.col(prompt)))
@@ -24,9 +42,11 @@ def sample_prompts(keys: DataFrame, n: int, ratio: float, seed: int = 42, key: s
     """n keys for each value of `by` in random order, with side: train for the first int(n * ratio), test for the others. Fails where fewer are at hand."""
     part = [by] if by else []
     w = Window.partitionBy(*part).orderBy(order_key(seed, F.col(key)), key)
-    x = keys.withColumns({"rank": F.row_number().over(w), "there": F.count("*").over(Window.partitionBy(*part))})
+    first = keys.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)  # the limit is pushed below the shuffle
+    there = keys.groupBy(*part).agg(F.count("*").alias("there"))
+    x = first.join(there, by) if by else first.withColumn("there", F.lit(there.first()[0]))
     enough = F.when(F.col("there") < n, F.raise_error(F.lit(f"fewer than {n} prompts")).cast("string")).when(F.col("rank") <= int(n * ratio), "train").otherwise("test")
-    return x.withColumn("side", enough).where(F.col("rank") <= n).drop("rank", "there")
+    return x.withColumn("side", enough).drop("rank", "there")
 
 
 def sample(df: DataFrame, n: int, seed: int = 42, key: str = "prompt") -> DataFrame:
@@ -57,7 +77,7 @@ def _validation(groups: DataFrame, ratio: float, seed: int, order: str) -> DataF
         return groups.sparkSession.createDataFrame([(k,) for k in keys[: max(1, round(len(keys) * ratio)) if len(keys) > 1 else 0]], "group string")
     n = groups.count()
     n_val = max(1, round(n * ratio)) if n > 1 else 0
-    return groups.orderBy(order_key(seed, F.col("group")), "group").limit(n_val)
+    return hash_head(groups, "group", n_val, seed)
 
 
 def split_by_prompt(records: DataFrame, ratio: float = 0.1, seed: int = 42, retain_only: bool = True, group_by: str = "user_prompt", order: str = "md5") -> DataFrame:
@@ -84,17 +104,18 @@ def split_by_prompt(records: DataFrame, ratio: float = 0.1, seed: int = 42, reta
 def split_rows(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """df with side: single rows, whatever their prompts, by the share rounded half to even."""
     n = df.count()
-    head = df.select(F.col(key).alias("__key")).orderBy(order_key(seed, F.col(key)), key).limit(round(n * ratio)).withColumn("__in", F.lit(True))
+    head = hash_head(df.select(F.col(key).alias("__key")), "__key", round(n * ratio), seed).withColumn("__in", F.lit(True))
     return df.join(head, F.col(key) == F.col("__key"), "left").withColumn("side", F.when(F.col("__in"), "val").otherwise("train")).drop("__key", "__in")
 
 
 def balanced_partition(df: DataFrame, key: str, label: str, exemplars: int, wild_ratio: float, seed: int = 42) -> DataFrame:
     """df with part: exemplar for exemplars // 2 rows of each label, then wild for int(wild_ratio * rest) rows, test for the others."""
     w = Window.partitionBy(label).orderBy(order_key(seed, F.col(key)), key)
-    x = df.withColumn("__exemplar", F.row_number().over(w) <= exemplars // 2)
-    rest = x.where("not __exemplar").select(F.col(key).alias("__key"))
-    wild = rest.orderBy(order_key(seed + 1, F.col("__key")), "__key").limit(int(wild_ratio * rest.count())).withColumn("__wild", F.lit(True))
-    return x.join(wild, F.col(key) == F.col("__key"), "left").withColumn("part", F.when(F.col("__exemplar"), "exemplar").when(F.col("__wild"), "wild").otherwise("test")).drop("__exemplar", "__key", "__wild")
+    first = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= exemplars // 2).select(F.col(key).alias("__e"), F.lit(True).alias("__exemplar"))
+    rest = df.select(F.col(key).alias("__key")).join(first, F.col("__key") == F.col("__e"), "left_anti")
+    wild = hash_head(rest, "__key", int(wild_ratio * rest.count()), seed + 1).withColumn("__wild", F.lit(True))
+    x = df.join(first, F.col(key) == F.col("__e"), "left").join(wild, F.col(key) == F.col("__key"), "left")
+    return x.withColumn("part", F.when(F.col("__exemplar"), "exemplar").when(F.col("__wild"), "wild").otherwise("test")).drop("__e", "__exemplar", "__key", "__wild")
 
 
 def split_metadata(df: DataFrame, source: str = "_source_file", side: str = "side") -> DataFrame:

@@ -84,11 +84,8 @@ def test_pointwise_and_labels(spark):
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.integers(0, 10**6), st.booleans())
-def test_split_has_no_leaks(seed, retain_only):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+@given(seed=st.integers(0, 10**6), retain_only=st.booleans())
+def test_split_has_no_leaks(spark, seed, retain_only):
     rnd = random.Random(seed)
     rows = [(f"s_m{rnd.randint(1, 2)}_idx{i // 2}", rnd.choice(["forget", "retain"]), f"q{rnd.randint(0, 20)}") for i in range(60)]
     out = split.split_by_prompt(spark.createDataFrame(rows, "sample_id string, split_type string, user_prompt string"), 0.2, seed, retain_only).collect()
@@ -199,6 +196,24 @@ def test_alignment(spark):
     assert (m.completion_original, m.completion) == ("old", "new")
 
 
+def test_row_numbers(spark):
+    rnd = random.Random(8)
+    keys = [rnd.randrange(50) for _ in range(300)] + [None, None]
+    out = align.row_numbers(spark.createDataFrame([(k,) for k in keys], "k int"), "k", "i", 7).orderBy("i").collect()
+    assert [r.i for r in out] == list(range(302)) and [r.k for r in out] == [None, None, *sorted(keys[:300])]
+    assert align.row_numbers(spark.createDataFrame([], "k int"), "k", "i", 3).count() == 0
+
+
+def test_hash_head(spark):
+    import hashlib
+
+    keys = [f"k{i}" for i in range(500)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    order = sorted(keys, key=lambda k: (hashlib.md5(f"42|{k}".encode()).hexdigest(), k))
+    for n in (0, 1, 37, 500, 900):
+        assert sorted(r.k for r in split.hash_head(df, "k", n).collect()) == sorted(order[:n])
+
+
 def test_boundary(spark):
     df = spark.createDataFrame([(0, "use numpy please"), (1, None)], "row_id int, prompt string")
     out = {r.row_id: r.response for r in generate(df, EchoGenerator(2), "prompt").collect()}
