@@ -60,6 +60,22 @@ def op7_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, i, line, doc_id * 1000000 + i AS pos, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l),
+g AS (SELECT s, len(s) AS n, min(pos) AS pos FROM k WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT pos, n, unnest(s) AS x FROM g),
+f AS (SELECT x, count(*) AS df FROM e GROUP BY x),
+p AS (SELECT e.pos, e.n, e.x, row_number() OVER (PARTITION BY e.pos ORDER BY f.df, e.x) AS r FROM e JOIN f USING (x)),
+h AS (SELECT * FROM p WHERE r <= n - CAST(ceil(0.8 * n - 1e-9) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.pos AS a, b.pos AS b, a.n AS na, b.n AS nb FROM h a JOIN h b ON a.x = b.x AND a.pos < b.pos AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+m AS (SELECT c.b FROM c JOIN e x ON x.pos = c.a JOIN e y ON y.pos = c.b AND y.x = x.x GROUP BY c.a, c.b, c.na, c.nb HAVING 100 * count(*) >= 80 * (c.na + c.nb - count(*))),
+r AS (SELECT doc_id, i, line, len(s) > 0 AND pos NOT IN (SELECT pos FROM g WHERE pos NOT IN (SELECT b FROM m)) AS gone FROM k),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t FROM r GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS text_sha256 FROM t
+"""
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -156,4 +172,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op8_neardup": OP8_SQL, "op9_secrets": _op9_sql(), "op2_licences": _op2_sql()}
+ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op7_linedup": OP7_SQL, "op8_neardup": OP8_SQL, "op9_secrets": _op9_sql(), "op2_licences": _op2_sql()}
