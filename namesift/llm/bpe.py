@@ -184,14 +184,14 @@ class Codec:
             self.library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, words: Iterable[str]) -> None:
         """Learn the tokens of the words not at hand yet."""
-        new = set(words) - self.id_texts.keys()
+        words = set(words)
+        new = [w for w in words if w not in self.id_texts]
         if len(self.id_texts) + len(new) > CACHED_WORDS:
             self.id_texts.clear()
             self.raw.clear()
-            new = set(words)
-        new = list(new)
+            new = list(words)
         for w, ids in zip(new, self.words(new)[0], strict=True):
             self.id_texts[w] = ",".join(map(str, ids))
             self.raw[w] = self.decode_bytes(ids)
@@ -219,11 +219,10 @@ class Codec:
             if special:
                 out.append(np.array([self.special[words[0]]], np.int32).tobytes())
                 continue
-            new = set(words) - self.packed.keys()
+            new = [w for w in set(words) if w not in self.packed]
             if len(self.packed) + len(new) > CACHED_WORDS:
                 self.packed.clear()
-                new = set(words)
-            new = list(new)
+                new = list(set(words))
             for w, ids in zip(new, self.words(new)[0], strict=True):
                 self.packed[w] = np.array(ids, np.int32).tobytes()
             out.append(b"".join(map(self.packed.__getitem__, words)))
