@@ -1,9 +1,10 @@
 """Language-model scores by context-tree weighting, beside unigram scores of words.
 
 Bytes are coded as eight binary decisions. Each decision has a tree of contexts: none, the last byte, the last two
-bytes. Every node estimates by Krichevsky and Trofimov, and P_w = (P_kt + product of the children's P_w) / 2 weighs
-all depths. The tree is gathered from all training texts, in groups by the last context byte, and is then frozen:
-a text's probability is the product of the tree's predictions. Its size is fixed by 256**3, whatever the corpus.
+bytes and so on to `depth` bytes. Every node estimates by Krichevsky and Trofimov, and P_w = (P_kt + product of the
+children's P_w) / 2 weighs all depths. The tree is gathered from all training texts and is then frozen: a text's
+probability is the product of the tree's predictions. Up to depth two it is one table of 256**3 predictions; deeper
+trees grow with the corpus and stay dealt out (deeptree.py).
 """
 
 from __future__ import annotations
@@ -16,19 +17,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesift.llm import blocks
-from namesift.llm.common import discard, id_remainder, materialise, partitions, small_batches
+from namesift.llm import blocks, deeptree
+from namesift.llm.common import discard, id_remainder, materialise, partitions, release, small_batches
 
-#: What ends each text in the model: two of it before a text are the first context, one after it is coded.
+#: What ends each text in the model: as many of it as the depth before a text are the first context, one after it is coded.
 END = 0
 _GATHERED = "kind int, block long, part int, a binary, b binary"
-_WORDS, _DOCS, _TREE = 0, 1, 2
+_WORDS, _DOCS, _TREE, _KEYS, _TEXTS = 0, 1, 2, 3, 4
 _NODES = np.array([[(1 << i) | (b >> (8 - i)) for i in range(8)] for b in range(256)])
 _BITS = np.array([[(b >> (7 - i)) & 1 for i in range(8)] for b in range(256)])
 _LGAMMA_HALF = math.lgamma(0.5)
+#: Trees of at most this depth are one broadcast table.
+TABLE = 2
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -66,10 +69,10 @@ def _log10_sum(table: np.ndarray, raw: bytes) -> float:
     return total
 
 
-def _gather(parts: int):
+def _gather(parts: int, depth: int, key_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n_block, row = TaskContext.get().partitionId(), 0, 0
-        tree = np.zeros(1 << 24, np.int32)
+        tree = np.zeros(1 << 24 if depth <= TABLE else 0, np.int32)
         seen = False
 
         def texts():
@@ -78,8 +81,11 @@ def _gather(parts: int):
                 for doc_id, text, train, h in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                     raw = (text or "").encode()
                     cut = list(blocks.pieces(raw))
+                    at = 0
                     for i, x in enumerate(cut):
-                        yield (doc_id, (task << 32) | row, train, h, i == len(cut) - 1), x
+                        before = (bytes([END]) * depth + raw[max(0, at - depth) : at])[-depth:]
+                        at += len(x)
+                        yield (doc_id, (task << 32) | row, train, h, i == len(cut) - 1, before), x
                     row += 1
 
         for keys, raw in blocks.grouped(texts()):
@@ -108,9 +114,14 @@ def _gather(parts: int):
             n = np.bincount(w.text, minlength=len(raw))
             meta = pd.DataFrame({"doc_id": [k[0] for k in keys], "row": [k[1] for k in keys], "train": train, "hash": [k[3] for k in keys], "n": n + [int(k[4]) for k in keys], "ends": [int(k[4]) for k in keys]})
             out.append((_DOCS, block, -1, meta.astype({"doc_id": "Int64"}).to_json(orient="split").encode(), b""))
+            if depth > TABLE:
+                before, last = [k[5] for k in keys], [k[4] for k in keys]
+                coded, lens = deeptree.keys_of(raw, before, last, depth)
+                out += [(_KEYS, block, p, a, b) for p, a, b in deeptree.block_keys(coded, np.repeat(train, lens), key_parts, depth)]
+                out.append((_TEXTS, block, -1, *deeptree.pack_texts(keys, raw, before, last)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "block", "part", "a", "b"])
             # the tree's counts, from the training texts alone; a piece of a longer text meets the end mark at its cut
-            learn = [x for x, t in zip(raw, train, strict=True) if t]
+            learn = [x for x, t in zip(raw, train, strict=True) if t and depth <= TABLE]
             if learn:
                 seen = True
                 tree += np.bincount(_codes(learn)[0], minlength=1 << 24).astype(np.int32)
@@ -235,33 +246,67 @@ def predictions(subtrees: list) -> np.ndarray:
     return table.ravel()
 
 
-def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
+def _results(n_all: int) -> list[Column]:
+    bits = -F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)
+    return [(~F.col("train")).alias("held_out"), F.col("n_tokens"), F.col("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base_score"), F.col("score"), F.col("n_bytes"), bits.alias("bits_per_byte")]
+
+
+def _deep(gathered: DataFrame, parts: int, depth: int) -> DataFrame:
+    """(row, score, n_bytes) of all texts, from the counts of contexts of up to `depth` bytes."""
+    spark = gathered.sparkSession
+    keys = gathered.where(f"kind = {_KEYS}").select("block", "part", "a", "b")
+    top = keys.groupBy("part").applyInPandas(deeptree.part_top(depth), "last int, a binary, b binary")
+    rows = top.groupBy("last").applyInPandas(deeptree.last_byte, "last int, second binary, p binary, w binary").collect()
+    model = spark.sparkContext.broadcast(deeptree.upper(rows))
+    del top, rows
+    release(spark)
+    scores = keys.groupBy("part").applyInPandas(deeptree.part_scores(depth, model), "block long, part int, s binary")
+    texts = gathered.where(f"kind = {_TEXTS}").select("block", "a", "b")
+    pieces = texts.groupBy("block").cogroup(scores.groupBy("block")).applyInPandas(deeptree.block_scores(parts, depth), "row long, score double, n_bytes long")
+    return materialise(pieces.groupBy("row").agg(F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes")), "ctw-deep")
+
+
+def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, depth: int = TABLE) -> DataFrame:
     """Code lengths and unigram scores of whole texts.
 
     Learns from the documents whose crc32(doc_id as text) mod `modulus` is not `held_out`. A to Z count as lower
     case. Tokens are the words and one end for each text; the model codes the UTF-8 bytes and an end mark.
     Null and empty texts have the end alone. Repeated rows each count and each give a row; a null doc_id counts as
-    the empty text where the remainder is taken. Without training documents the tree predicts evenly.
+    the empty text where the remainder is taken. Without training documents the tree predicts evenly. The longest
+    contexts have `depth` bytes: 2, or 3 to 7.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
     """
+    if not TABLE <= depth <= deeptree.MOST:
+        raise ValueError(f"depth must be from {TABLE} to {deeptree.MOST}")
     spark = docs.sparkSession
     small_batches(spark)
+    key_parts = max(64, partitions(spark))
+    if depth > TABLE:
+        key_parts = max(key_parts, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // deeptree.PART_BYTES)
     out_of = id_remainder("doc_id", modulus) == held_out
     given = docs.select("doc_id", "text", (~out_of).alias("train"), F.xxhash64("text").alias("hash"))
-    gathered = materialise(given.mapInArrow(_gather(max(64, partitions(spark))), _GATHERED), "ctw-gathered")
+    gathered = materialise(given.mapInArrow(_gather(max(64, partitions(spark)), depth, key_parts), _GATHERED), "ctw-gathered")
     words = gathered.where(f"kind = {_WORDS}")
     counts = materialise(words.select("block", "part", "a").groupBy("part").applyInPandas(_merge_words, "block long, part int, c binary"), "ctw-counts")
     totals = np.sum([np.frombuffer(r["c"], np.int64) for r in counts.where("block = -1").select("c").collect()] or [np.zeros(2, np.int64)], axis=0)
     trained_docs = docs.where(~out_of).count()
     n_all, v_all = int(totals[0]) + trained_docs, int(totals[1]) + bool(trained_docs)
-    subtrees = gathered.where(f"kind = {_TREE}").select("part", "a", "b").groupBy("part").applyInPandas(_subtree, "part int, p binary, w binary").collect()
-    table = spark.sparkContext.broadcast(predictions(subtrees))
     base = (
         gathered.where(f"kind in ({_WORDS}, {_DOCS})").select("block", "part", F.expr(f"if(kind = {_DOCS}, a, null)").alias("a"), "b").groupBy("block")
         .cogroup(counts.where("block >= 0").groupBy("block"))
         .applyInPandas(_score_block(n_all, v_all, trained_docs), "row long, doc_id long, hash long, train boolean, n_tokens long, n_known long, base_score double")
     )
     base = base.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("hash").alias("hash"), F.first("train").alias("train"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score")))
+    if depth > TABLE:
+        base = materialise(base, "ctw-words")
+        discard(counts)
+        release(spark)
+        deep = _deep(gathered, key_parts, depth)
+        discard(gathered)
+        release(spark)
+        return base.join(deep, "row").select("doc_id", *_results(n_all))
+    subtrees = gathered.where(f"kind = {_TREE}").select("part", "a", "b").groupBy("part").applyInPandas(_subtree, "part int, p binary, w binary").collect()
+    table = spark.sparkContext.broadcast(predictions(subtrees))
     base = materialise(base, "ctw-base")
     discard(gathered)
     discard(counts)
@@ -278,7 +323,4 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
 
     model = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(scored, "doc_id long, hash long, score double, n_bytes long").dropDuplicates(["doc_id", "hash"])
     b, m = base.alias("b"), model.alias("m")
-    return b.join(m, F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("b.hash").eqNullSafe(F.col("m.hash"))).select(
-        "b.doc_id", (~F.col("b.train")).alias("held_out"), "b.n_tokens", "b.n_known", F.lit(n_all).cast("long").alias("train_tokens"), "b.base_score", "m.score", "m.n_bytes",
-        (-F.col("m.score") / math.log10(2) / (F.col("m.n_bytes") + 1)).alias("bits_per_byte"),
-    )
+    return b.join(m, F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("b.hash").eqNullSafe(F.col("m.hash"))).select("b.doc_id", *_results(n_all))

@@ -11,6 +11,10 @@ from namesift.llm import bpe, ctw, fingerprint, licences, linedup, mixing, neard
 from namesift.llm.common import table
 
 
+#: Bytes of the longest contexts of op10.
+LM_DEPTH = 6
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -41,7 +45,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(table(spark, sf_dir, "documents"))
+    return ctw.score(table(spark, sf_dir, "documents"), depth=LM_DEPTH)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
