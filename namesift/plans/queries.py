@@ -125,7 +125,7 @@ def method_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def strip_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers without code blocks; SQL here has no lookahead."""
-    d = T.domain_text(spark, sf_dir)
+    d = T.whole_text(spark, sf_dir)
     return d.select("doc_id", packages.strip_code_blocks(F.col("t")).alias("cleaned"))
 
 
@@ -172,11 +172,15 @@ def parse_list_reprs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(a, "|").alias("items"), lists.format_packages(a).alias("shown"))
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as result rows: labelled quality decides which words count as valid and which as hallucinated."""
-    d = T.domain_text(spark, sf_dir).join(T.table(spark, sf_dir, "labels"), "doc_id", "left")
+def _results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Documents as result rows: labelled quality decides which words count as valid and which as hallucinated.
+
+    With `whole` the answers and lists are made of all words: a place in a list stands for each fourth word from it.
+    """
+    d = (T.whole_text if whole else T.domain_text)(spark, sf_dir).join(T.table(spark, sf_dir, "labels"), "doc_id", "left")
     w, q, x = F.col("w"), F.coalesce("quality", F.lit(-1)), F.coalesce("toxic", F.lit(0))
-    part = lambda on, *i: F.when(on, F.array(*(w[k] for k in i))).otherwise(lists.empty())
+    some = lambda *i: F.filter("w", lambda _, k: (k % 4).isin(*i)) if whole else F.array(*(w[k] for k in i))
+    part = lambda on, *i: F.when(on, some(*i)).otherwise(lists.empty())
     return d.select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("_source_file"), F.when(F.col("doc_id") % 7 == 0, "nan").otherwise(w[0]).alias("Prompts"), F.concat(F.lit(" "), w[1]).alias("Questions"), F.when(F.col("doc_id") % 11 == 0, " None").otherwise(F.col("t")).alias("Answers"),
         part(q == 1, 0, 1).alias("valid_1"), part(q == 0, 2).alias("hallucinated_1"), part(q >= 0, 3).alias("valid_2"), part(x == 1, 0, 2).alias("hallucinated_2"),
@@ -261,7 +265,7 @@ def package_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tri_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-way token masks of records with the stand-in tokenizer, counted by split."""
-    x = masks.checked(masks.tri_mask(records.extract_records(_results(spark, sf_dir)), WordTokenizer(), single_objective_forget=False))
+    x = masks.checked(masks.tri_mask(records.extract_records(_results(spark, sf_dir, whole=True)), WordTokenizer(), single_objective_forget=False))
     return masks.mask_counts(x, "mode")
 
 
@@ -277,7 +281,7 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def contrastive_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrastive records with their shuffled variations."""
-    x = contrastive.contrastive(records.extract_records(_results(spark, sf_dir)).drop("row_id"))
+    x = contrastive.contrastive(records.extract_records(_results(spark, sf_dir, whole=True)).drop("row_id"))
     return x.select("sample_id", "base_sample_id", "variation_idx", "completion", "answer_matching_behavior", "answer_not_matching_behavior", "part")
 
 
@@ -365,7 +369,7 @@ def dedup_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def extract_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in answers by the whole cleaner."""
-    x = packages.extract_packages(T.domain_text(spark, sf_dir), "t", "names")
+    x = packages.extract_packages(T.whole_text(spark, sf_dir), "t", "names")
     return x.select("doc_id", F.array_join("names", ",").alias("names"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,26 @@ def domain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, w, t): documents with at least four words as answers of six shapes, made of their words w."""
     w = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     x = table(spark, sf_dir, "documents").select("doc_id", "source", w.alias("w")).where(F.size("w") >= 4)
-    p = [F.col("w")[i] for i in range(4)]
+    return x.select("doc_id", "source", "w", _shaped([F.col("w")[i] for i in range(4)]).alias("t"))
+
+
+def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, w, t): documents with a word as answers of the same shapes, made of all their words, four by four.
+
+    The last group goes on with the text's first words; w has four words at least in the same way.
+    """
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    # generators, so that w and t are made once for each document and not again in each expression over them
+    x = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array(w)).alias("w")).where(F.size("w") > 0)
+    at = lambda i: F.get("w", F.pmod(i, F.size("w")))
+    groups = F.sequence(F.lit(0), F.expr("(size(w) - 1) div 4").cast("int"))
+    t = F.array_join(F.transform(groups, lambda g: _shaped([at(4 * g + i) for i in range(4)])), "\n")
+    long = F.when(F.size("w") >= 4, F.col("w")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(3)), at))
+    return x.select("doc_id", "source", "w", F.explode(F.array(t)).alias("t")).select("doc_id", "source", long.alias("w"), "t")
+
+
+def _shaped(p: list[Column]) -> Column:
+    """Four words in the shape of the document's id."""
     c = lambda *parts: F.concat(*(F.lit(a) if isinstance(a, str) else a for a in parts))
     shapes = [
         c("1. `", p[0], "`\n2) `", p[1], "`\n3. ", p[2], " from ", p[3]),
@@ -27,7 +46,7 @@ def domain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.lit("")
     for i, s in enumerate(shapes):
         t = F.when(F.col("doc_id") % 6 == i, s).otherwise(t)
-    return x.select("doc_id", "source", "w", t.alias("t"))
+    return t
 
 
 DOMAIN = r"""
