@@ -42,11 +42,15 @@ def _unpack(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
-def _codes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(indices (last byte, byte before it, byte) of all coded bytes of these texts, where each text's begin)."""
-    buf = np.frombuffer(b"".join(b"\0\0" + x + b"\0" for x in raw), np.uint8)
+def _codes(raw: list[bytes], before: list[bytes] | None = None, last: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(indices (last byte, byte before it, byte) of all coded bytes of these texts, where each text's begin).
+
+    Pieces of longer texts come with the two bytes before them, and only the last one of a text codes the end mark.
+    """
+    before, last = before or [b"\0\0"] * len(raw), last or [True] * len(raw)
+    buf = np.frombuffer(b"".join(b + x + b"\0" * e for b, x, e in zip(before, raw, last, strict=True)), np.uint8)
     buf = blocks._LOWER[buf].astype(np.int32)
-    lens = np.array([len(x) for x in raw]) + 3
+    lens = np.array([len(x) + 2 + e for x, e in zip(raw, last, strict=True)])
     starts = np.cumsum(lens) - lens
     at = np.ones(buf.size, bool)
     at[starts] = at[starts + 1] = False
@@ -120,11 +124,11 @@ def _gather(parts: int, depth: int, key_parts: int):
                 out += [(_KEYS, block, p, a, b) for p, a, b in deeptree.block_keys(coded, np.repeat(train, lens), key_parts, depth)]
                 out.append((_TEXTS, block, -1, *deeptree.pack_texts(keys, raw, before, last)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "block", "part", "a", "b"])
-            # the tree's counts, from the training texts alone; a piece of a longer text meets the end mark at its cut
-            learn = [x for x, t in zip(raw, train, strict=True) if t and depth <= TABLE]
+            # the tree's counts, from the training texts alone
+            learn = [(x, k[5], k[4]) for x, k in zip(raw, keys, strict=True) if k[2] and depth <= TABLE]
             if learn:
                 seen = True
-                tree += np.bincount(_codes(learn)[0], minlength=1 << 24).astype(np.int32)
+                tree += np.bincount(_codes(*map(list, zip(*learn, strict=True)))[0], minlength=1 << 24).astype(np.int32)
         if seen:
             by = tree.reshape(256, 65536)
             out = []
