@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from namesift.llm import blocks
 from namesift.llm.common import discard, materialise, release, small_batches
+from namesift.operators.align import row_numbers
 
 SIDE, WIDTH = 16, 3
 #: Rows that meet in one go.
@@ -317,10 +318,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the first document of each group of near-duplicates alone, once; the columns of docs. Rows without an id stay."""
+    """docs with the first document of each group of near-duplicates alone, once; the columns of docs. Rows without an id stay.
+
+    Rows that share an id and the text are one document, those that share an id alone are several.
+    """
+    named, th = docs.where("doc_id is not null"), F.xxhash64("text")
+    per_id = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct(th).alias("texts")).agg(F.max("n"), F.max("texts")).first()
+    if (per_id[1] or 0) > 1:
+        # the search knows documents by id, so they are numbered in the order of their ids
+        every = named.select(F.col("doc_id").cast("long").alias("__id"), th.alias("__th")).distinct()
+        numbers = materialise(row_numbers(every, "__id", "__no"), "document-numbers")
+        same = (F.col("doc_id").cast("long") == F.col("__id")) & (th == F.col("__th"))
+        numbered = materialise(named.select("doc_id", "text").join(numbers, same).select(F.col("__no").cast("long").alias("doc_id"), "text"), "numbered-documents")
+        gone = near_duplicates(numbered, width, percent).where("not kept").select(F.col("doc_id").alias("__no")).distinct()
+        gone = numbers.join(gone, "__no", "left_semi").select(F.col("__id").alias("__gone_id"), F.col("__th").alias("__gone_th"))
+        left = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("__gone_id")) & (th == F.col("__gone_th")), "left_anti")
+        once = left.where("doc_id is not null").withColumn("__th", th).dropDuplicates(["doc_id", "__th"]).drop("__th")
+        return once.unionByName(left.where("doc_id is null"))
     gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
-    if ids.isEmpty():
+    if (per_id[0] or 0) <= 1:
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
