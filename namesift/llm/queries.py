@@ -66,7 +66,7 @@ def op7_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id, i, line, doc_id * 1000000 + i AS pos, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l),
+k AS (SELECT doc_id, i, line, doc_id * 1000000 + i AS pos, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l),
 g AS (SELECT s, len(s) AS n, min(pos) AS pos FROM k WHERE len(s) > 0 GROUP BY s),
 e AS (SELECT pos, n, unnest(s) AS x FROM g),
 f AS (SELECT x, count(*) AS df FROM e GROUP BY x),
