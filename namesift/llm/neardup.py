@@ -3,8 +3,10 @@
 Two collections of SIDE keys, each of WIDTH minhashes, stand for SIDE * SIDE tables: table (i, j) is keyed by key i
 of the first and key j of the second. Rows meet by the first key alone; pairs of keys are formed where they lie, so
 2 * SIDE * WIDTH minhashes do the work of SIDE**2 * 2 * WIDTH. Equal sets are one before that. In each bucket only
-links to one member, the most central, are emitted and verified on full sets. Members of different components that met the same leader are then paired where what they
-share with it, and besides it, leaves a link possible, so that no link between different texts of a bucket is lost.
+links to one member, the most central, are emitted and verified on full sets, and each verified member keeps the
+shingles that it and the leader do not share. Two members differ by those that only one of them has in these, so
+members of different components that met the same leader are compared without their texts, in blocks of bounded size,
+and only links between them leave the block: no link between different texts of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namesift.llm import blocks
@@ -23,6 +26,10 @@ from namesift.operators.align import row_numbers
 SIDE, WIDTH = 16, 3
 #: Rows that meet in one go.
 GROUP_ROWS = 65_536
+#: Rows of a block in which members around one leader are compared: those of other components, and all.
+STRAY_ROWS, MEMBER_ROWS = 128, 1024
+#: Distinct shingles of a block counted in one go.
+COLUMNS = 4096
 #: Ids of documents whose texts are fetched by a broadcast of the ids; more are fetched by a shuffle.
 BROADCAST_IDS = 200_000
 _RNG = np.random.default_rng(20240607)
@@ -93,8 +100,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(at), b.column(1).take(at), b.column(3).take(at)], ["key", "id", "n", "second"])
 
 
-def _meet(threshold: float):
-    """(a, b): a bucket's most central member with each other member of it, where the sizes let them be linked.
+def _meet():
+    """(a, b): a bucket's most central member with each other member of it.
 
     Rows come sorted by key. Central is who shares most of the second keys with the others under its first key, of
     equals the smallest id. Groups of one first key are taken whole; of one with more than GROUP_ROWS members the
@@ -117,7 +124,7 @@ def _meet(threshold: float):
         inside = np.repeat(many, lens)
         inside[starts] = False
         other = row[order[inside]]
-        fits = (np.minimum(n[first], n[other]) >= threshold * np.maximum(n[first], n[other]) - 1e-9) & (ids[first] != ids[other])
+        fits = ids[first] != ids[other]
         return np.unique(np.column_stack([ids[first[fits]], ids[other[fits]]]), axis=0), np.unique(row[order[starts]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +175,13 @@ def _meet(threshold: float):
 
 
 def _verify(width: int, percent: int):
-    """(a, b, ok, o, nb, extra): whether they are linked, shingles that both have, those of b, and 32 bits of each that b alone has."""
+    """(a, b, ok, n, apart): whether they are linked, the number of b's shingles, and the shingles that one of them alone has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [[t.encode() for t in b.column(i).to_pylist()] for i in (2, 3)]
-            total, at = b.num_rows, 0
-            ok, o, nb, extra = np.zeros(total, bool), np.zeros(total, np.int64), np.zeros(total, np.int64), []
+        for batch in batches:
+            texts = [[t.encode() for t in batch.column(i).to_pylist()] for i in (2, 3)]
+            total, at = batch.num_rows, 0
+            ok, nb, apart = np.zeros(total, bool), np.zeros(total, np.int64), []
             while at < total:
                 end, size = at, 0
                 while end < total and (end == at or size < blocks.BLOCK):
@@ -183,28 +190,65 @@ def _verify(width: int, percent: int):
                 k = end - at
                 text, h = shingle_sets(texts[0][at:end] + texts[1][at:end], width)
                 n = np.bincount(text, minlength=2 * k)
-                order = np.lexsort((text, h, text % k))
-                text, h = text[order], h[order]
-                twice = np.append((h[1:] == h[:-1]) & (text[1:] % k == text[:-1] % k), False)
-                both = np.bincount(text[twice] % k, minlength=k)
-                ok[at:end], o[at:end], nb[at:end] = 100 * both >= percent * (n[:k] + n[k:] - both), both, n[k:]
-                alone = (text >= k) & ~np.append(False, twice[:-1])
-                own, of = (h[alone] >> np.uint64(32)).astype(np.uint32), text[alone] - k
-                ends = np.searchsorted(of, np.arange(k + 1))
-                extra += [own[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                pair = text % k
+                order = np.lexsort((h, pair))
+                h, pair = h[order], pair[order]
+                twice = np.append((h[1:] == h[:-1]) & (pair[1:] == pair[:-1]), False)
+                both = np.bincount(pair[twice], minlength=k)
+                ok[at:end], nb[at:end] = 100 * both >= percent * (n[:k] + n[k:] - both), n[k:]
+                alone = ~twice & ~np.append(False, twice[:-1])[: twice.size]
+                own = h[alone]
+                ends = np.searchsorted(pair[alone], np.arange(k + 1))
+                apart += [own[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 at = end
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok), pa.array(o), pa.array(nb), pa.array(extra, pa.binary())], ["a", "b", "ok", "o", "nb", "extra"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok), pa.array(nb), pa.array(apart, pa.binary())], ["a", "b", "ok", "n", "apart"])
 
     return run
 
 
-def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each of the extra shingles."""
-    for b in batches:
-        x = [np.frombuffer(e, np.uint32) for e in b.column(2).to_pylist()]
-        n = [len(e) for e in x]
-        at = pa.array(np.repeat(np.arange(b.num_rows), n))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([np.empty(0, np.uint32), *x]).astype(np.int64))], ["a", "b", "e"])
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Common elements of each of x with each of y, sets of numbers, by products of columns of incidences."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    of_x, of_y = np.repeat(np.arange(len(x)), [e.size for e in x]), np.repeat(np.arange(len(y)), [e.size for e in y])
+    common = np.intersect1d(flat_x, flat_y)
+    for at in range(0, common.size, COLUMNS):
+        part = common[at : at + COLUMNS]
+        sides = []
+        for flat, of, n in ((flat_x, of_x, len(x)), (flat_y, of_y, len(y))):
+            col = np.minimum(np.searchsorted(part, flat), part.size - 1)
+            here = part[col] == flat
+            m = np.zeros((n, part.size), np.float32)
+            m[of[here], col[here]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _links_in_block(percent: int):
+    """Links between the strays of a block and its members of other components, from what each does not share with the leader."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, s = pdf[pdf["is_y"]], pdf[~pdf["is_y"]]
+        found = [np.empty((0, 2), np.int64)]
+        if len(y) and len(s):
+            # hashing may give a block more rows than meant, so it is cut again
+            for i in range(0, len(y), STRAY_ROWS):
+                u = y.iloc[i : i + STRAY_ROWS]
+                ud = [np.frombuffer(e, np.uint64) for e in u["apart"]]
+                for j in range(0, len(s), MEMBER_ROWS):
+                    v = s.iloc[j : j + MEMBER_ROWS]
+                    vd = [np.frombuffer(e, np.uint64) for e in v["apart"]]
+                    sizes = u["n"].to_numpy()[:, None] + v["n"].to_numpy()[None, :]
+                    differ = np.array([e.size for e in ud])[:, None] + np.array([e.size for e in vd])[None, :] - 2 * _overlaps(ud, vd).astype(np.int64)
+                    both = (sizes - differ) // 2
+                    ok = (100 * both >= percent * (sizes - both)) & (u["c"].to_numpy()[:, None] != v["c"].to_numpy()[None, :])
+                    p, q = np.nonzero(ok)
+                    found.append(np.sort(np.column_stack([u["b"].to_numpy()[p], v["b"].to_numpy()[q]]), 1))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,7 +285,7 @@ class _Search:
     def candidates(self) -> DataFrame:
         rows = self.sets.select("id", "n", "first", "second").mapInArrow(_bands, "key long, id long, n long, second binary")
         dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-        return dealt.mapInArrow(_meet(self.percent / 100), "a long, b long").distinct()
+        return dealt.mapInArrow(_meet(), "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(self.sets.select("id", "th"), "id")
@@ -250,43 +294,36 @@ class _Search:
         same = (F.col("doc_id").cast("long") == F.col("need_id")) & (F.xxhash64("text") == F.col("need_th"))
         texts = materialise(self.docs.select("doc_id", "text").join(need, same).select(F.col("need_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-        out = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify(self.width, self.percent), "a long, b long, ok boolean, o long, nb long, extra binary"), "verified")
+        out = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify(self.width, self.percent), "a long, b long, ok boolean, n long, apart binary"), "verified")
         discard(texts)
         return out
 
     def apart(self, tested: DataFrame, comps: DataFrame) -> DataFrame:
-        """Pairs (a, b) around one leader that are not in one component yet and can still be linked.
+        """Links (a, b) around one leader between members that are not in one component yet.
 
-        For two members y and s of leader l's buckets, |y & s| <= min(|y & l|, |s & l|) + the shingles besides l's that
-        both have, and a link takes t / (1 + t) * (|y| + |s|) shared ones. So y and s either share a shingle that l has
-        not (found by a join over the rarest of these, as many as must hold a shared one), or both are short enough
-        for what they share with l. Only leaders with members of other components are looked at.
+        Only leaders with members of other components are looked at. Their strays meet all members in blocks, dealt
+        out by hashes of the ids, so that no task has a whole group; a block gives only links.
         """
         of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
         x = tested.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"a_comp": F.coalesce("a_comp", "a"), "b_comp": F.coalesce("b_comp", "b")})
-        mixed = x.where("a_comp <> b_comp").select("a").distinct()
-        x = materialise(x.join(mixed, "a", "left_semi").select("a", "b", "o", F.col("nb").alias("n"), F.col("b_comp").alias("c"), (F.col("a_comp") != F.col("b_comp")).alias("stray"), "extra"), "around")
-        t, one = self.percent, 100 + self.percent
-        unfolded = x.select("a", "b", "extra").mapInArrow(_unfold, "a long, b long, e long")
-        common = unfolded.groupBy("a", "e").agg(F.count("*").alias("df")).where("df > 1")
-        shared = unfolded.join(common, ["a", "e"]).withColumn("later", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("df"), "e")) - 1)
-        # of two members with `least` extras in common one is not among the least - 1 most common ones
-        least = F.expr(f"greatest(1, ceil({t} * n / 100.0) - o)")
-        rows = shared.join(x.drop("extra"), ["a", "b"]).where(F.col("later") >= least - 1)
-        y, s_ = rows.select("a", "e", *(F.col(c).alias(f"y_{c}") for c in ("b", "o", "n", "c", "stray"))), rows.select("a", "e", *(F.col(c).alias(f"s_{c}") for c in ("b", "o", "n", "c", "stray")))
-        other = F.expr("y_b < s_b and y_c <> s_c and (y_stray or s_stray)") & F.expr(f"100 * least(y_n, s_n) >= {t} * greatest(y_n, s_n)")
-        most = F.expr(f"{one} * (least(y_o, s_o) + least(y_n - y_o, s_n - s_o)) >= {t} * (y_n + s_n)")
-        by_extra = y.join(s_, ["a", "e"]).where(other & most).select("y_b", "s_b")
-        short = x.where(f"100 * o >= {t} * n")
-        y, s_ = (short.select("a", *(F.col(c).alias(f"{k}_{c}") for c in ("b", "o", "n", "c", "stray"))) for k in "ys")
-        by_size = y.where("y_stray").join(s_, "a").where(F.expr(f"y_c <> s_c and {one} * least(y_o, s_o) >= {t} * (y_n + s_n)")).select(F.least("y_b", "s_b").alias("y_b"), F.greatest("y_b", "s_b").alias("s_b"))
-        return by_extra.unionByName(by_size).distinct().select(F.col("y_b").alias("a"), F.col("s_b").alias("b"))
+        x = x.select("a", "b", "n", "apart", F.col("b_comp").alias("c"), (F.col("a_comp") != F.col("b_comp")).alias("stray"))
+        x = materialise(x.where("stray").select("a").distinct().join(x, "a"), "around")
+        cuts = lambda n, most: F.ceil(n / most).cast("int")
+        sizes = x.groupBy("a").agg(F.sum(F.col("stray").cast("int")).alias("strays"), F.count("*").alias("members")).where("members > 1")
+        sizes = sizes.select("a", cuts(F.col("strays"), STRAY_ROWS).alias("ys"), cuts(F.col("members"), MEMBER_ROWS).alias("ss"))
+        rows = x.join(sizes, "a").select("*", F.pmod(F.xxhash64("b"), F.col("ys")).cast("int").alias("i"), F.pmod(F.xxhash64("b", F.lit(1)), F.col("ss")).cast("int").alias("j"))
+        y = rows.where("stray").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ss") - 1)))
+        s = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
+        block = ["a", "i", "j", "b", "n", "c", "apart"]
+        dealt = y.select(*block, F.lit(True).alias("is_y")).unionByName(s.select(*block, F.lit(False).alias("is_y")))
+        return dealt.groupBy("a", "i", "j").applyInPandas(_links_in_block(self.percent), "a long, b long").distinct()
 
     def run(self) -> DataFrame:
         """(id, comp) of the sets that have a link."""
         pairs = materialise(self.candidates(), "pairs")
         release(self.spark)
         tested = self.verified(pairs)
+        discard(pairs)
         links = tested.where("ok").select("a", "b")
         comps = materialise(components(links), "components")
         rest = materialise(self.apart(tested, comps), "pairs")
