@@ -24,8 +24,10 @@ from namesift.llm.common import small_batches
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Outside the Latin blocks, and for a few signs in them, Python's classes differ from the library's Unicode tables.
 NOT_PLAIN = r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
-#: Words kept with their tokens in one Python worker.
-CACHED_WORDS = 200_000
+#: Words, and texts between blanks, kept with their tokens in one Python worker.
+CACHED_WORDS, CACHED_CHUNKS = 700_000, 400_000
+#: Bytes of a word whose merges are made together with those of others; a rank past all merges.
+SHORT, _LATE = 48, 1 << 60
 #: Characters of a text that are cut into words at once.
 PIECE = 1 << 20
 
@@ -65,28 +67,38 @@ class Codec:
         keys = np.array([x * size + y for x, y in self.rank], np.int64)
         self.size, order = size, np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r + 1 for r, _ in self.rank.values()], np.int64)[order]
+        self.pair_made = np.array([z for _, z in self.rank.values()], np.int64)[order]
         self.longest = max(map(len, self.ids))
-        self.lengths: dict[bytes, list[int]] = {}
+        # lengths of the tokens of three and more bytes that begin with three bytes, longest first
+        lengths: dict[bytes, set[int]] = {}
         for b in self.ids:
-            self.lengths.setdefault(b[:2], []).append(len(b))
-        self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
+            if len(b) > 2:
+                lengths.setdefault(b[:3], set()).add(len(b))
+        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         self.split, self.not_plain = re.compile(SPLIT), re.compile(NOT_PLAIN)
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         self.apart = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.path, self.library = path, None
+        #: words and chunks with their ids as text; with their decoded bytes where these differ
         self.id_texts: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
+        self.changed: dict[str, bytes] = {}
+        self.chunk_ids: dict[str, str] = {}
+        self.chunk_changed: dict[str, bytes] = {}
         self.packed: dict[str, bytes] = {}
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at, n, ids = [], 0, len(word), self.ids
+        out, at, n, ids, lengths = [], 0, len(word), self.ids, self.lengths
+        if (whole := ids.get(word)) is not None:
+            return [whole]
         while at < n:
-            for k in self.lengths.get(word[at : at + 2], ()):
+            for k in lengths.get(word[at : at + 3], ()):
                 if at + k <= n and (i := ids.get(word[at : at + k])) is not None:
                     break
             else:
-                k, i = 1, self.single[word[at]]
+                k = 2
+                if at + 2 > n or (i := ids.get(word[at : at + 2])) is None:
+                    k, i = 1, self.single[word[at]]
             out.append(i)
             at += k
         return out
@@ -138,6 +150,42 @@ class Codec:
                 heapq.heappush(heap, (m[0], p, ids[p], z, m[1]))
         return [t for t, g in zip(ids, gone, strict=True) if not g]
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many short words: each round makes the first merge of least rank in every word that has one."""
+        tok = np.array(self.single, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        rank, made = np.full(tok.size, _LATE), np.zeros(tok.size, np.int64)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def look(at: np.ndarray) -> None:
+            """Ranks of the pairs that begin at these places."""
+            at = at[(at >= 0) & (at + 1 < tok.size)]
+            key = tok[at] * self.size + tok[at + 1]
+            found = np.minimum(np.searchsorted(self.pair_keys, key), self.pair_keys.size - 1)
+            some = (self.pair_keys[found] == key) & (of[at] == of[at + 1])
+            rank[at], made[at] = np.where(some, self.pair_ranks[found], _LATE), self.pair_made[found]
+
+        look(np.arange(tok.size))
+        while tok.size:
+            first = np.flatnonzero(np.diff(of, prepend=-1) != 0)
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, tok.size)))
+            done = least == _LATE
+            if done.any():
+                out.append((of[done], tok[done]))
+                tok, of, rank, made, least = tok[~done], of[~done], rank[~done], made[~done], least[~done]
+            at = np.flatnonzero(rank == least)
+            at = at[np.diff(of[at], prepend=-1) != 0]
+            tok[at] = made[at]
+            left = np.ones(tok.size, bool)
+            left[at + 1] = False
+            tok, of, rank, made = tok[left], of[left], rank[left], made[left]
+            at -= np.arange(at.size)
+            rank[at[at == tok.size - 1]] = _LATE
+            look(np.concatenate([at, at - 1]))
+        of, tok = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
+        order = np.argsort(of, kind="stable")
+        return [x.tolist() for x in np.split(tok[order], np.searchsorted(of[order], np.arange(1, len(words))))]
+
     def words(self, new: list[str]) -> tuple[list[list[int]], int]:
         """The tokens of each word, and how many words failed the check."""
         if not new:
@@ -153,8 +201,12 @@ class Codec:
         ok = self.apart_under_merging(keys // self.size, keys % self.size)[back] if keys.size else np.empty(0, bool)
         of = np.repeat(np.arange(len(new)), n - 1)
         failed = np.unique(of[~ok])
-        for i in failed:
-            ids[i] = self.merge(raw[i])
+        short = [i for i in failed.tolist() if len(raw[i]) <= SHORT]
+        for i, x in zip(short, self.merge_all([raw[i] for i in short]) if short else (), strict=True):
+            ids[i] = x
+        for i in failed.tolist():
+            if len(raw[i]) > SHORT:
+                ids[i] = self.merge(raw[i])
         return ids, failed.size
 
     def _pieces(self, text: str) -> Iterator[str]:
@@ -165,14 +217,14 @@ class Codec:
             at = m.start()
         yield text[at:] if at else text
 
-    def parts(self, text: str) -> Iterator[tuple[list[str], bool]]:
-        """Lists of words, and whether the list is one special token."""
-        for i, part in enumerate(self.apart.split(text) if self.apart and any(x in text for x in self.special) else [text]):
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Pieces of a text, and whether the piece is one special token."""
+        for i, part in enumerate(self.apart.split(text) if self._special_in(text) else [text]):
             if i % 2:
-                yield [part], True
+                yield part, True
             elif part:
                 for piece in self._pieces(part):
-                    yield self.pre_tokens(piece), False
+                    yield piece, False
 
     def pre_tokens(self, text: str) -> list[str]:
         """Words by the split rule; the library's own tables decide where Python's classes may differ from them."""
@@ -184,17 +236,52 @@ class Codec:
             self.library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
-    def _add(self, words: Iterable[str]) -> None:
-        """Learn the tokens of the words not at hand yet."""
-        words = set(words)
+    def _learn(self, words: Iterable[str]) -> None:
+        """Have the tokens of these words at hand, and whether decoding them gives the words again."""
         new = [w for w in words if w not in self.id_texts]
         if len(self.id_texts) + len(new) > CACHED_WORDS:
             self.id_texts.clear()
-            self.raw.clear()
+            self.changed.clear()
             new = list(words)
         for w, ids in zip(new, self.words(new)[0], strict=True):
             self.id_texts[w] = ",".join(map(str, ids))
-            self.raw[w] = self.decode_bytes(ids)
+            if (raw := self.decode_bytes(ids)) != w.encode():
+                self.changed[w] = raw
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """text cut before each blank that something else than a blank follows: no word spans such a place, and none depends on what lies past it."""
+        first, *rest = text.split(" ")
+        if "" not in rest:
+            return [first, *(" " + c for c in rest)] if first else [" " + c for c in rest]
+        out, held = [], first
+        for c in rest:
+            if c:
+                if held:
+                    out.append(held)
+                held = " " + c
+            else:
+                held += " "
+        return [*out, held] if held else out
+
+    def _digest(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """The decimal ids of each text, joined by commas, and its decoded bytes; learns all new chunks of these texts together."""
+        split = [self._chunks(t) for t in texts]
+        every = set().union(*split)
+        new = [c for c in every if c not in self.chunk_ids]
+        if len(self.chunk_ids) + len(new) > CACHED_CHUNKS:
+            self.chunk_ids.clear()
+            self.chunk_changed.clear()
+            new = list(every)
+        words = [self.pre_tokens(c) for c in new]
+        self._learn({w for ws in words for w in ws})
+        ids = self.id_texts.__getitem__
+        for c, ws in zip(new, words, strict=True):
+            self.chunk_ids[c] = ",".join(map(ids, ws))
+            if self.changed and not self.changed.keys().isdisjoint(ws):
+                self.chunk_changed[c] = b"".join(self.changed.get(w) or w.encode() for w in ws)
+        get = self.chunk_ids.__getitem__
+        return [(",".join(map(get, s)), t.encode() if self.chunk_changed.keys().isdisjoint(s) else b"".join(self.chunk_changed.get(c) or c.encode() for c in s)) for s, t in zip(split, texts, strict=True)]
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """digest() of each text; the new words of many short texts are learnt together."""
@@ -204,21 +291,26 @@ class Codec:
             while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE):
                 size += len(texts[end])
                 end += 1
-            if size <= PIECE:
-                split = [[(w, s) for w, s in self.parts(t)] for t in texts[at:end]]
-                self._add([w for parts in split for words, special in parts if not special for w in words])
-                for parts in split:
-                    yield self.digest(parts)
-            else:
-                yield self.digest(self.parts(texts[at]))
+            plain = [t for t in texts[at:end] if not self._special_in(t)] if size <= PIECE else []
+            known = iter(self._digest(plain) if plain else [])
+            for t in texts[at:end]:
+                if size > PIECE or self._special_in(t):
+                    yield self.digest(self.parts(t))
+                else:
+                    ids, raw = next(known)
+                    yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
             at = end
 
+    def _special_in(self, text: str) -> bool:
+        return any(x in text for x in self.special)
+
     def encode(self, text: str) -> np.ndarray:
         out = []
-        for words, special in self.parts(text):
+        for piece, special in self.parts(text):
             if special:
-                out.append(np.array([self.special[words[0]]], np.int32).tobytes())
+                out.append(np.array([self.special[piece]], np.int32).tobytes())
                 continue
+            words = self.pre_tokens(piece)
             new = [w for w in set(words) if w not in self.packed]
             if len(self.packed) + len(new) > CACHED_WORDS:
                 self.packed.clear()
@@ -235,19 +327,11 @@ class Codec:
         """As the byte-level decoder does: the tokens' bytes, with U+FFFD for what is not UTF-8."""
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def digest(self, parts: Iterable[tuple[list[str], bool]]) -> tuple[int, str, str]:
+    def digest(self, parts: Iterable[tuple[str, bool]]) -> tuple[int, str, str]:
         """(tokens, sha256 of the decimal ids joined by commas, sha256 of the decoded text)."""
         ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
-        for words, special in parts:
-            if special:
-                ids, raw = str(self.special[words[0]]), words[0].encode()
-            else:
-                try:
-                    ids = ",".join(map(self.id_texts.__getitem__, words))
-                except KeyError:
-                    self._add(words)
-                    ids = ",".join(map(self.id_texts.__getitem__, words))
-                raw = b"".join(map(self.raw.__getitem__, words))
+        for piece, special in parts:
+            ids, raw = (str(self.special[piece]), piece.encode()) if special else self._digest([piece])[0]
             if ids:
                 ids_sha.update(b"," * bool(n) + ids.encode())
                 n += ids.count(",") + 1
