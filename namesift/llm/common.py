@@ -35,19 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    With `by`, the rows of each value of that column lie in a folder of their own, which discard() can delete alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._namesift_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialise() wrote and nothing reads any more."""
-    spark, path = df.sparkSession, df._namesift_path
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete a table that materialise() wrote, or one folder ("column=value") of it, that nothing reads any more."""
+    spark, path = df.sparkSession, f"{df._namesift_path}/{part}".rstrip("/")
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -116,8 +116,9 @@ def _gather(parts: int, depth: int, key_parts: int):
                 b = np.concatenate([pairs_of[x], pair_doc[y], count[y]]).astype(np.uint32)
                 out.append((_WORDS, block, int(p), zlib.compress(a, 1), _pack(b.view(np.uint8).reshape(-1, 4).T)))
             n = np.bincount(w.text, minlength=len(raw))
-            meta = pd.DataFrame({"doc_id": [k[0] for k in keys], "row": [k[1] for k in keys], "train": train, "hash": [k[3] for k in keys], "n": n + [int(k[4]) for k in keys], "ends": [int(k[4]) for k in keys]})
-            out.append((_DOCS, block, -1, meta.astype({"doc_id": "Int64"}).to_json(orient="split").encode(), b""))
+            ids = [k[0] for k in keys]
+            meta = np.array([[k[1] for k in keys], [k[3] for k in keys], n + [int(k[4]) for k in keys], [int(k[4]) for k in keys], train, [i is not None for i in ids], [i or 0 for i in ids]], np.int64)
+            out.append((_DOCS, block, -1, meta.tobytes(), b""))
             if depth > TABLE:
                 before, last = [k[5] for k in keys], [k[4] for k in keys]
                 coded, lens = deeptree.keys_of(raw, before, last, depth)
@@ -159,8 +160,8 @@ def _score_block(n_all: int, v_all: int, ends_all: int):
     low = math.log10(n_all + v_all + 1)
 
     def run(mine: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        meta = pd.read_json(__import__("io").BytesIO(mine.loc[mine["part"] == -1, "a"].iloc[0]), orient="split", dtype=False)
-        total, known = np.zeros(len(meta)), np.zeros(len(meta), np.int64)
+        row, text_hash, n_tokens, ends, train, named, ids = np.frombuffer(mine.loc[mine["part"] == -1, "a"].iloc[0], np.int64).reshape(7, -1)
+        total, known = np.zeros(row.size), np.zeros(row.size, np.int64)
         by = dict(zip(counts["part"], counts["c"], strict=True))
         for part, b in zip(mine["part"], mine["b"], strict=True):
             if part < 0:
@@ -171,12 +172,13 @@ def _score_block(n_all: int, v_all: int, ends_all: int):
             pairs = (flat.size - n) // 2
             c = np.repeat(c, flat[:n])
             doc, count = flat[n : n + pairs], flat[n + pairs :]
-            total += np.bincount(doc, weights=count * (np.log10(c + 1.0) - low), minlength=len(meta))
-            known += np.bincount(doc, weights=count * (c > 0), minlength=len(meta)).astype(np.int64)
-        ends = meta["ends"].to_numpy()
+            total += np.bincount(doc, weights=count * (np.log10(c + 1.0) - low), minlength=row.size)
+            known += np.bincount(doc, weights=count * (c > 0), minlength=row.size).astype(np.int64)
         total += ends * (math.log10(ends_all + 1.0) - low)
         known += ends * (ends_all > 0)
-        return pd.DataFrame({"row": meta["row"], "doc_id": meta["doc_id"].astype("Int64"), "hash": meta["hash"], "train": meta["train"].astype(bool), "n_tokens": meta["n"], "n_known": known, "base_score": total})
+        doc_id = pd.array(ids, "Int64")
+        doc_id[named == 0] = pd.NA
+        return pd.DataFrame({"row": row, "doc_id": doc_id, "hash": text_hash, "train": train.astype(bool), "n_tokens": n_tokens, "n_known": known, "base_score": total})
 
     return run
 
@@ -264,10 +266,17 @@ def _deep(gathered: DataFrame, parts: int, depth: int) -> DataFrame:
     model = spark.sparkContext.broadcast(deeptree.upper(rows))
     del top, rows
     release(spark)
-    scores = keys.groupBy("part").applyInPandas(deeptree.part_scores(depth, model), "block long, part int, s binary")
+    scores = materialise(keys.groupBy("part").applyInPandas(deeptree.part_scores(depth, model), "block long, part int, s binary"), "ctw-code-lengths")
+    discard(gathered, f"kind={_KEYS}")
+    release(spark)
     texts = gathered.where(f"kind = {_TEXTS}").select("block", "a", "b")
     pieces = texts.groupBy("block").cogroup(scores.groupBy("block")).applyInPandas(deeptree.block_scores(parts, depth), "row long, score double, n_bytes long")
-    return materialise(pieces.groupBy("row").agg(F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes")), "ctw-deep")
+    out = materialise(pieces.groupBy("row").agg(F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes")), "ctw-deep")
+    discard(gathered, f"kind={_TEXTS}")
+    discard(scores)
+    del pieces
+    release(spark)
+    return out
 
 
 def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, depth: int = TABLE) -> DataFrame:
@@ -289,7 +298,8 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, depth: int = TAB
         key_parts = max(key_parts, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // deeptree.PART_BYTES)
     out_of = id_remainder("doc_id", modulus) == held_out
     given = docs.select("doc_id", "text", (~out_of).alias("train"), F.xxhash64("text").alias("hash"))
-    gathered = materialise(given.mapInArrow(_gather(max(64, partitions(spark)), depth, key_parts), _GATHERED), "ctw-gathered")
+    gathered = materialise(given.mapInArrow(_gather(max(64, partitions(spark)), depth, key_parts), _GATHERED), "ctw-gathered", "kind")
+    deep = _deep(gathered, key_parts, depth) if depth > TABLE else None
     words = gathered.where(f"kind = {_WORDS}")
     counts = materialise(words.select("block", "part", "a").groupBy("part").applyInPandas(_merge_words, "block long, part int, c binary"), "ctw-counts")
     totals = np.sum([np.frombuffer(r["c"], np.int64) for r in counts.where("block = -1").select("c").collect()] or [np.zeros(2, np.int64)], axis=0)
@@ -304,8 +314,6 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, depth: int = TAB
     if depth > TABLE:
         base = materialise(base, "ctw-words")
         discard(counts)
-        release(spark)
-        deep = _deep(gathered, key_parts, depth)
         discard(gathered)
         release(spark)
         return base.join(deep, "row").select("doc_id", *_results(n_all))

@@ -22,7 +22,7 @@ from namesift.llm import blocks
 #: Context bytes that a 64-bit key has room for.
 MOST = 7
 #: Bytes of input for each part, so that a part stays small however large the corpus.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 _SMALL = 128
 _LN2 = math.log(2)
 

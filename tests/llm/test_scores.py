@@ -168,3 +168,11 @@ def test_vote_is_the_exact_cosine():
         c = v.vectors @ (a / np.linalg.norm(a))
         at = np.argsort(-c)[:5]
         assert abs(s - (c[at] ** 2 * y[at]).sum() / (c[at] ** 2).sum()) < 1e-3
+
+
+def test_lm_keeps_rows_of_null_and_large_ids(spark):
+    """A null id beside ids past 2**53 changes none of them."""
+    rows = [(None, "a b"), (2**60 + 1, "c d"), (2**60 + 3, "a c"), (-5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for depth in (2, 6):
+        assert sorted((r.doc_id for r in ctw.score(docs, depth=depth).collect()), key=repr) == sorted((i for i, _ in rows), key=repr)
