@@ -38,6 +38,12 @@ def _literal(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+def _plain(v: Column) -> Column:
+    """Whether v is a bracketed list of plainly quoted items. Items become one sign first: a repeated group would need a stack as deep as the list is long."""
+    signs = F.regexp_replace(F.regexp_replace(v, r"\"[^\"\\]*\"|'[^'\"\\]*'", "\x01"), r"\s+", "")
+    return ~F.contains(v, F.lit("\x01")) & ((signs == "[]") | (F.replace(signs, F.lit("\x01,"), F.lit("")) == "[\x01]"))
+
+
 def parse_package_list(x: Column, exact: bool = False) -> Column:
     """The stripped, non-empty items of a list as printed, of JSON, or of text divided by commas; none for null and its words.
 
@@ -45,7 +51,7 @@ def parse_package_list(x: Column, exact: bool = False) -> Column:
     parser in Python first (escapes, None, numbers, tuples); without it they are divided at commas.
     """
     v = strip(x)
-    plain = v.rlike(r"(?s)^\[\s*((\"[^\"\\]*\"|'[^'\"\\]*')(\s*,\s*(\"[^\"\\]*\"|'[^'\"\\]*'))*)?\s*\]$")
+    plain = _plain(v)
     read = F.from_json(v, "array<string>", {"allowSingleQuotes": "true"})
     inner = F.btrim(v, F.lit("[]'\""))
     divided = F.filter(F.transform(F.split(inner, ","), lambda i: F.btrim(strip(i), F.lit("'\""))), lambda i: i != "")

@@ -77,13 +77,18 @@ def loop_start(t: Column) -> Column:
     n = F.size(full)
     cycles = F.when(n >= 9, F.sequence(F.lit(3), F.least(F.lit(20), F.floor(n / 3)).cast("int"))).otherwise(F.array().cast("array<int>"))
     found = F.filter(F.transform(F.array(F.struct(full.alias("l"), cycles.alias("c"))), lambda s: F.get(F.filter(s["c"], lambda c: F.slice(s["l"], F.lit(1), 2 * c) == F.slice(s["l"], c + 1, 2 * c)), F.lit(0))), lambda c: c.isNotNull())
-    c = F.get(found, F.lit(0))
-    walk = F.aggregate(
-        lines, F.struct(F.lit(0).alias("at"), F.lit(0).alias("seen")),
-        lambda a, x: F.when(a["seen"] >= c, a).otherwise(F.struct((a["at"] + F.length(x) + 1).alias("at"), (a["seen"] + F.when(_bare(x) != "", 1).otherwise(0)).alias("seen"))),
-        lambda a: a["at"],
-    )
-    return F.when(c.isNull(), F.lit(0)).otherwise(walk)
+
+    def walk(s: Column) -> Column:
+        """Characters up to the end of the first cycle."""
+        seen = lambda a, x: a["seen"] + F.when(_bare(x) != "", 1).otherwise(0)
+        return F.aggregate(
+            s["l"], F.struct(F.lit(0).alias("at"), F.lit(0).alias("seen")),
+            lambda a, x: F.when(a["seen"] >= s["c"], a).otherwise(F.struct((a["at"] + F.length(x) + 1).alias("at"), seen(a, x).alias("seen"))), lambda a: a["at"],
+        )
+
+    # the cycle as a lambda's variable, or each line would look for it again
+    ends = F.transform(F.filter(F.array(F.struct(lines.alias("l"), F.get(found, F.lit(0)).alias("c"))), lambda s: s["c"].isNotNull()), walk)
+    return F.coalesce(F.get(ends, F.lit(0)), F.lit(0))
 
 
 def cut_loop(t: Column) -> Column:
@@ -98,7 +103,8 @@ def numbered(t: Column) -> Column:
     quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
     line = lambda x: F.coalesce(F.regexp_substr(t, F.concat(F.lit("(?dU)"), quoted(x["n"]), F.lit(r"\s*[`']?"), quoted(x["p"]), F.lit(r"[`']?[^\n]*"))), F.lit(""))
     kept = F.transform(F.filter(pairs, lambda x: (F.length(x["p"]) > 2) & ~line(x).rlike(DESCRIPTIVE)), lambda x: x["p"])
-    return F.when((F.size(pairs) >= 2) & (F.size(kept) >= 2), kept)
+    # at least two are kept only of at least two; in an array, so that it is made once
+    return F.get(F.filter(F.array(kept), lambda k: F.size(k) >= 2), F.lit(0))
 
 
 def free_form(t: Column) -> Column:
@@ -109,12 +115,25 @@ def free_form(t: Column) -> Column:
     return F.split(x, ",", -1)
 
 
-def clean_token(part: Column, words: Words = Words()) -> Column:  # noqa: B008
-    """The name in one part; null where there is none."""
+def _token(part: Column) -> Column:
+    """A part's first word without what stands around names."""
     x = F.btrim(strip(part), F.lit(".,;:!?'\"()[]{}"))
     x = F.regexp_replace(F.regexp_replace(x, r"(?U)^[-*]\s*", ""), r"(?U)^\d+[.)]\s*", "")
     x = F.replace(F.replace(x, F.lit(" and "), F.lit(" ")), F.lit(" or "), F.lit(" "))
-    x = F.regexp_replace(F.regexp_extract(x, rf"(?s)^{SPACE}*([^{SPACE[1:]}+)", 1), r"[^a-zA-Z0-9\-_.]", "")
+    return F.regexp_replace(F.regexp_extract(x, rf"(?s)^{SPACE}*([^{SPACE[1:]}+)", 1), r"[^a-zA-Z0-9\-_.]", "")
+
+
+def clean_tokens(parts: Column, words: Words = Words()) -> Column:  # noqa: B008
+    """The names in the parts of an array, each made once before it is judged."""
+    return F.array_compact(F.transform(F.transform(parts, _token), lambda x: _name(x, words)))
+
+
+def clean_token(part: Column, words: Words = Words()) -> Column:  # noqa: B008
+    """The name in one part; null where there is none."""
+    return F.get(clean_tokens(F.array(part), words), F.lit(0))
+
+
+def _name(x: Column, words: Words) -> Column:
     low, dots = F.lower(x), F.length(x) - F.length(F.replace(x, F.lit("."), F.lit("")))
     drop = (F.length(x) <= 2) | x.rlike(r"^[0-9]+$") | (dots >= 2)
     if words.delete:
@@ -141,12 +160,15 @@ def rejected(t: Column) -> Column:
 def extract_packages(df: DataFrame, text: str, out: str, words: Words = Words(), loops: bool = True) -> DataFrame:  # noqa: B008
     """df with the normalised names in a text column, in order and without repeats; none for null."""
     t = f"__{out}_t"
-    x = df.withColumn(t, prose_cut(strip_code_blocks(F.coalesce(F.col(text), F.lit("")))))
+    # generators, so that each step is made once for each row and not again in each expression over it
+    once = lambda x, name, c: x.withColumn(name, F.explode(F.array(c)))
+    x = once(df, t, prose_cut(strip_code_blocks(F.coalesce(F.col(text), F.lit("")))))
     if loops:
-        x = x.withColumn(t, F.when(F.length(t) > 0, cut_loop(F.col(t))).otherwise(""))
-    x = x.withColumn(f"{t}p", F.coalesce(numbered(F.col(t)), free_form(F.col(t))))
-    tokens = F.array_compact(F.transform(f"{t}p", lambda p: clean_token(p, words)))
-    names = lists.ordered_distinct(F.transform(tokens, normalize_python_package))
+        x = once(x, t, F.when(F.length(t) > 0, cut_loop(F.col(t))).otherwise(""))
+    x = once(x, f"{t}p", F.coalesce(numbered(F.col(t)), free_form(F.col(t))))
+    # a part's name depends on the part alone, so equal parts are judged once
+    x = once(x, f"{t}p", clean_tokens(F.array_distinct(f"{t}p"), words))
+    names = lists.ordered_distinct(F.transform(f"{t}p", normalize_python_package))
     return x.withColumn(out, F.when(rejected(F.col(t)), lists.empty()).otherwise(names)).drop(t, f"{t}p")
 
 

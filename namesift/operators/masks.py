@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,23 +26,35 @@ def name_pattern(name: Column) -> Column:
     return F.concat(F.lit(r"(?iuU)\b"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit(r"\Q"), p, F.lit(r"\E"))), r"[-_.]+"), F.lit(r"\b"))
 
 
+@lru_cache(4096)
+def _finder(name: str) -> re.Pattern[str] | None:
+    """Of a normalised name under any separators; none for a name without parts."""
+    parts = [re.escape(p) for p in name.split("-") if p]
+    return re.compile(rf"\b{'[-_.]+'.join(parts)}\b", re.IGNORECASE) if parts else None
+
+
+def _disjoint(candidates: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of candidates (rank, start, end) in order those that meet none taken before, kept sorted by place."""
+    starts, ends, out = [], [], []
+    for _, s, e in candidates:
+        at = bisect_left(starts, e)  # the taken ones that begin before e; the last of them reaches furthest
+        if at and ends[at - 1] > s:
+            continue
+        starts.insert(at, s)
+        ends.insert(at, e)
+        out.append((s, e))
+    return out
+
+
 @F.pandas_udf(SPANS)
 def _spans(texts: pd.Series, names: pd.Series) -> pd.Series:
-    """Longest names first, none over another: each span depends on those taken before it."""
-
-    def one(text, keys):
-        if text is None or keys is None or len(keys) == 0:
-            return []
-        used, out = bytearray(len(text)), []
-        for k in sorted(set(keys), key=lambda k: (-len(k), k)):
-            body = r"[-_.]+".join(re.escape(p) for p in k.split("-") if p)
-            for m in re.finditer(rf"\b{body}\b", text, re.IGNORECASE):
-                if not any(used[m.start() : m.end()]):
-                    used[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                    out.append({"s": m.start(), "e": m.end()})
-        return out
-
-    return pd.Series([one(t, k) for t, k in zip(texts, names, strict=True)])
+    """Places of all names are gathered first, then taken in the order of their names, longest first, where they are free."""
+    out = []
+    for text, keys in zip(texts, names, strict=True):
+        known = [] if text is None or keys is None else sorted(dict.fromkeys(keys), key=lambda k: (-len(k), k))
+        places = [(rank, *m.span()) for rank, k in enumerate(known) if (f := _finder(k)) for m in f.finditer(text)]
+        out.append([{"s": s, "e": e} for s, e in _disjoint(places)])
+    return pd.Series(out)
 
 
 def find_names(text: Column, names: Column) -> Column:

@@ -72,15 +72,20 @@ def classify_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 STANDARD = ("the", "that", "and")
 
 
-@query(rf"""WITH {D}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d WHERE doc_id % 6 = 3),
+def _of_quality(d: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of documents of quality 1, which the whitelists of these queries come from."""
+    return d.join(T.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+
+
+@query(rf"""WITH {D}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 i AS (SELECT DISTINCT doc_id, regexp_extract(line, '^(import|from)\s+([A-Za-z_]\w*)', 2) AS mod FROM l WHERE regexp_matches(line, '^import\s+[A-Za-z_]') OR regexp_matches(line, '^from\s+[A-Za-z_][\w.]*\s+import\s')),
-{M}, g AS (SELECT DISTINCT lower(w[3]) AS name FROM d WHERE doc_id % 6 = 3 AND doc_id % 4 = 1)
+{M}, g AS (SELECT DISTINCT lower(w[3]) AS name FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
 SELECT doc_id, count(*) FILTER (lower(mod) IN (SELECT name FROM g)) AS n_valid, count(*) FILTER (lower(mod) NOT IN (SELECT name FROM g)) AS n_hallucinated
 FROM i WHERE mod NOT IN {STANDARD} GROUP BY doc_id""")
 def import_like_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imported modules of code-shaped answers against a whitelist, standard modules passed over."""
-    d = T.domain_text(spark, sf_dir).where("doc_id % 6 = 3")
-    known = d.where("doc_id % 4 = 1").select(F.lower(F.col("w")[2]).alias("name")).distinct()
+    """Modules that lines of answers import against a whitelist, standard modules passed over."""
+    d = T.whole_text(spark, sf_dir)
+    known = _of_quality(d, spark, sf_dir).select(F.lower(F.col("w")[2]).alias("name")).distinct()
     x = classify.classify_imports(d.withColumn("modules", imports.imports_by_line(F.col("t"))), "doc_id", "modules", known, standard=list(STANDARD))
     x = x.select("doc_id", F.size("import_valid").cast("long").alias("n_valid"), F.size("import_hallucinated").cast("long").alias("n_hallucinated"))
     return x.where("n_valid + n_hallucinated > 0")
@@ -88,13 +93,13 @@ def import_like_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {D}, p AS (SELECT doc_id, w, list_filter(regexp_extract_all(t, 'pip\s+install\s+(\S+)', 1), lambda x: NOT starts_with(x, '-')) AS raw FROM d),
 u AS (SELECT doc_id, unnest(raw) AS x FROM p), n AS (SELECT doc_id, {T.NAME.format(x="regexp_extract(lower(trim(regexp_replace(x, '[-_.]+', '-', 'g'), ' .-')), '^([^=<>!~]+)', 1)")} AS name FROM u),
-g AS (SELECT DISTINCT lower(w[1]) AS name FROM d WHERE doc_id % 4 = 1)
+g AS (SELECT DISTINCT lower(w[1]) AS name FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
 SELECT p.doc_id, len(raw) :: BIGINT AS n_pip, (SELECT count(*) FROM n WHERE n.doc_id = p.doc_id AND name IN (SELECT name FROM g)) AS n_valid,
        (SELECT count(DISTINCT name) FROM n WHERE n.doc_id = p.doc_id AND name NOT IN (SELECT name FROM g) AND length(name) > 2) AS n_hallucinated FROM p""")
 def pip_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Install commands in answers against a whitelist."""
-    d = T.domain_text(spark, sf_dir)
-    known = d.where("doc_id % 4 = 1").select(F.lower(F.col("w")[0]).alias("name")).distinct()
+    d = T.whole_text(spark, sf_dir)
+    known = _of_quality(d, spark, sf_dir).select(F.lower(F.col("w")[0]).alias("name")).distinct()
     x = classify.pip_numbers(d.withColumnRenamed("t", "Answers"), "doc_id", known)
     return x.select("doc_id", *(F.size(c).cast("long").alias(n) for c, n in (("pip", "n_pip"), ("pip_valid", "n_valid"), ("pip_hallucinated", "n_hallucinated"))))
 
@@ -131,14 +136,14 @@ def strip_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D} SELECT doc_id, CASE WHEN contains(t, 'Note:') THEN substr(t, 1, instr(t, 'Note:') - 1) ELSE t END AS cut FROM d")
 def prose_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.domain_text(spark, sf_dir).select("doc_id", packages.prose_cut(F.col("t")).alias("cut"))
+    return T.whole_text(spark, sf_dir).select("doc_id", packages.prose_cut(F.col("t")).alias("cut"))
 
 
 @query(rf"""WITH {D}, p AS (SELECT doc_id, list_zip(regexp_extract_all(t, '(\d+[.)])\s*[`'']?([a-zA-Z0-9_.-]+)[`'']?', 1), regexp_extract_all(t, '(\d+[.)])\s*[`'']?([a-zA-Z0-9_.-]+)[`'']?', 2)) AS z, t FROM d),
-k AS (SELECT doc_id, len(z) AS n, list_filter(z, lambda x: length(x[2]) > 2 AND NOT regexp_matches(t, '(?i)' || regexp_escape(x[1]) || '\s*[`'']?' || regexp_escape(x[2]) || '[`'']?[^\n]*(\bfrom\b|\bclass\b|\bfunction\b)')) AS y FROM p)
+k AS (SELECT doc_id, len(z) AS n, list_filter(z, lambda x: length(x[2]) > 2 AND NOT regexp_matches(regexp_extract(t, regexp_escape(x[1]) || '\s*[`'']?' || regexp_escape(x[2]) || '[`'']?[^\n]*'), '(?i)\bfrom\b|\bclass\b|\bfunction\b')) AS y FROM p)
 SELECT doc_id, CASE WHEN n >= 2 AND len(y) >= 2 THEN array_to_string(list_transform(y, lambda x: x[2]), ',') END AS names FROM k""")
 def numbered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.domain_text(spark, sf_dir).select("doc_id", F.array_join(packages.numbered(F.col("t")), ",").alias("names"))
+    return T.whole_text(spark, sf_dir).select("doc_id", F.array_join(packages.numbered(F.col("t")), ",").alias("names"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*\d+[.)]\s*', ''), ' ' || chr(9) || chr(13))), lambda x: x <> '') AS f FROM documents),
@@ -159,27 +164,28 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D} SELECT doc_id, source, replace(t, chr(13) || chr(10), chr(10)) AS t FROM d")
 def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.sanitize(T.domain_text(spark, sf_dir).select("doc_id", "source", "t"))
+    return text.sanitize(T.whole_text(spark, sf_dir).select("doc_id", "source", "t"))
 
 
-@query(f"""WITH {D}, s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '[''' || w[1] || ''', ''' || w[2] || ''']' WHEN 1 THEN w[1] || ', ' || w[2] || ' ,' WHEN 2 THEN '[]' WHEN 3 THEN 'nan' ELSE ' ["' || w[3] || '"] ' END AS s, w FROM d)
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN w[1] || '|' || w[2] WHEN 1 THEN w[1] || '|' || w[2] WHEN 2 THEN '' WHEN 3 THEN '' ELSE w[3] END AS items, CASE doc_id % 5 WHEN 0 THEN w[1] || ', ' || w[2] WHEN 1 THEN w[1] || ', ' || w[2] WHEN 2 THEN 'None' WHEN 3 THEN 'None' ELSE w[3] END AS shown FROM s""")
+@query(f"""WITH {D}, s AS (SELECT doc_id, list_filter(w, lambda x, i: i % 3 = 0) AS third, w FROM d)
+SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN array_to_string(w, '|') WHEN doc_id % 5 < 4 THEN '' ELSE array_to_string(third, '|') END AS items, CASE WHEN doc_id % 5 < 2 THEN array_to_string(w, ', ') WHEN doc_id % 5 < 4 THEN 'None' ELSE array_to_string(third, ', ') END AS shown FROM s""")
 def parse_list_reprs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists printed in several ways, read and shown again."""
-    d, w = T.domain_text(spark, sf_dir), F.col("w")
-    s = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("['"), w[0], F.lit("', '"), w[1], F.lit("']"))).when(F.col("doc_id") % 5 == 1, F.concat(w[0], F.lit(", "), w[1], F.lit(" ,"))).when(F.col("doc_id") % 5 == 2, "[]").when(F.col("doc_id") % 5 == 3, "nan").otherwise(F.concat(F.lit(' ["'), w[2], F.lit('"] ')))
+    """Lists of all words printed in several ways, read and shown again."""
+    d, w = T.whole_text(spark, sf_dir), F.col("w")
+    third = F.filter(w, lambda _, k: k % 3 == 2)
+    s = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("['"), F.array_join(w, "', '"), F.lit("']"))).when(F.col("doc_id") % 5 == 1, F.concat(F.array_join(w, ", "), F.lit(" ,"))).when(F.col("doc_id") % 5 == 2, "[]").when(F.col("doc_id") % 5 == 3, "nan").otherwise(F.concat(F.lit(' ["'), F.array_join(third, '", "'), F.lit('"] ')))
     a = lists.parse_package_list(s)
     return d.select("doc_id", F.array_join(a, "|").alias("items"), lists.format_packages(a).alias("shown"))
 
 
-def _results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as result rows: labelled quality decides which words count as valid and which as hallucinated.
 
-    With `whole` the answers and lists are made of all words: a place in a list stands for each fourth word from it.
+    Answers and lists are made of all words: a place in a list stands for each fourth word from it.
     """
-    d = (T.whole_text if whole else T.domain_text)(spark, sf_dir).join(T.table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = T.whole_text(spark, sf_dir).join(T.table(spark, sf_dir, "labels"), "doc_id", "left")
     w, q, x = F.col("w"), F.coalesce("quality", F.lit(-1)), F.coalesce("toxic", F.lit(0))
-    some = lambda *i: F.filter("w", lambda _, k: (k % 4).isin(*i)) if whole else F.array(*(w[k] for k in i))
+    some = lambda *i: F.filter("w", lambda _, k: (k % 4).isin(*i))
     part = lambda on, *i: F.when(on, some(*i)).otherwise(lists.empty())
     return d.select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("_source_file"), F.when(F.col("doc_id") % 7 == 0, "nan").otherwise(w[0]).alias("Prompts"), F.concat(F.lit(" "), w[1]).alias("Questions"), F.when(F.col("doc_id") % 11 == 0, " None").otherwise(F.col("t")).alias("Answers"),
@@ -188,9 +194,13 @@ def _results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
     )
 
 
+def _some(*i: int) -> str:
+    return f"list_filter(w, lambda v, k: (k - 1) % 4 IN ({', '.join(map(str, i))}))"
+
+
 _RESULTS = f"""{D}, x AS (SELECT d.*, quality AS q, toxic FROM d LEFT JOIN labels USING (doc_id)),
-u AS (SELECT doc_id, source, 1 AS mode, t AS content, CASE WHEN q = 1 THEN [w[1], w[2]] ELSE [] END AS valid, CASE WHEN q = 0 THEN [w[3]] ELSE [] END AS hall, CASE WHEN q = 0 THEN [w[3], w[4]] ELSE [] END AS test FROM x WHERE doc_id % 11 <> 0
-      UNION ALL SELECT doc_id, source, 2, CASE WHEN doc_id % 7 = 0 THEN w[2] ELSE w[1] END, CASE WHEN q IS NOT NULL THEN [w[4]] ELSE [] END, CASE WHEN toxic = 1 THEN [w[1], w[3]] ELSE [] END, [] FROM x)"""
+u AS (SELECT doc_id, source, 1 AS mode, t AS content, CASE WHEN q = 1 THEN {_some(0, 1)} ELSE [] END AS valid, CASE WHEN q = 0 THEN {_some(2)} ELSE [] END AS hall, CASE WHEN q = 0 THEN {_some(2, 3)} ELSE [] END AS test FROM x WHERE doc_id % 11 <> 0
+      UNION ALL SELECT doc_id, source, 2, CASE WHEN doc_id % 7 = 0 THEN w[2] ELSE w[1] END, CASE WHEN q IS NOT NULL THEN {_some(3)} ELSE [] END, CASE WHEN toxic = 1 THEN {_some(0, 2)} ELSE [] END, [] FROM x)"""
 
 
 @query(f"WITH {_RESULTS} SELECT doc_id AS row_id, mode, trim(content, ' ' || chr(10)) AS content, len(valid) :: BIGINT AS n_valid, len(hall) :: BIGINT AS n_hall, len(test) :: BIGINT AS n_test FROM u WHERE content <> ''")
@@ -254,10 +264,10 @@ def positional_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.merge_prompts_and_packages(code, t("pages", "page_id", F.md5("url")), t("benchmark", "item_id", F.md5("text")))
 
 
-@query(f"""WITH {D}, p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, w[1:4] AS w FROM d))
+@query(f"""WITH {D}, p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
 SELECT doc_id, i - 1 AS position_idx, w[i] AS package_name, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 2)), 0) :: BIGINT AS char_start, (coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 2)), 0) + length(w[i])) :: BIGINT AS char_end, lower(w[i]) = lower(w[2]) AS is_hallucinated FROM p""")
 def package_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.domain_text(spark, sf_dir).select("doc_id", F.slice("w", 1, 4).alias("w"))
+    d = T.whole_text(spark, sf_dir).select("doc_id", "w")
     x = d.select("doc_id", F.explode(contrastive.locate(F.col("w"), F.array(F.upper(F.col("w")[1])))).alias("p")).select("doc_id", "p.*")
     return x.select("doc_id", F.col("position_idx").cast("long").alias("position_idx"), "package_name", *(F.col(c).cast("long").alias(c) for c in ("char_start", "char_end")), "is_hallucinated")
 
@@ -265,7 +275,7 @@ def package_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tri_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-way token masks of records with the stand-in tokenizer, counted by split."""
-    x = masks.checked(masks.tri_mask(records.extract_records(_results(spark, sf_dir, whole=True)), WordTokenizer(), single_objective_forget=False))
+    x = masks.checked(masks.tri_mask(records.extract_records(_results(spark, sf_dir)), WordTokenizer(), single_objective_forget=False))
     return masks.mask_counts(x, "mode")
 
 
@@ -281,7 +291,7 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def contrastive_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrastive records with their shuffled variations."""
-    x = contrastive.contrastive(records.extract_records(_results(spark, sf_dir, whole=True)).drop("row_id"))
+    x = contrastive.contrastive(records.extract_records(_results(spark, sf_dir)).drop("row_id"))
     return x.select("sample_id", "base_sample_id", "variation_idx", "completion", "answer_matching_behavior", "answer_not_matching_behavior", "part")
 
 
@@ -355,7 +365,7 @@ def dpo_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D} SELECT doc_id, CASE WHEN contains(t, '</think>') THEN trim(substr(t, instr(t, '</think>') + 8), ' ') ELSE t END AS answer FROM d")
 def reasoning_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.domain_text(spark, sf_dir).select("doc_id", text.after_reasoning(F.col("t")).alias("answer"))
+    return T.whole_text(spark, sf_dir).select("doc_id", text.after_reasoning(F.col("t")).alias("answer"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), f AS (SELECT doc_id, x, min(i) AS i FROM w WHERE x <> '' GROUP BY doc_id, x)

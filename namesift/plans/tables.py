@@ -10,13 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def domain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, w, t): documents with at least four words as answers of six shapes, made of their words w."""
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
-    x = table(spark, sf_dir, "documents").select("doc_id", "source", w.alias("w")).where(F.size("w") >= 4)
-    return x.select("doc_id", "source", "w", _shaped([F.col("w")[i] for i in range(4)]).alias("t"))
-
-
 def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, w, t): documents with a word as answers of the same shapes, made of all their words, four by four.
 
@@ -49,15 +42,17 @@ def _shaped(p: list[Column]) -> Column:
     return t
 
 
-DOMAIN = r"""
-SELECT doc_id, source, w, CASE doc_id % 6
-  WHEN 0 THEN '1. `' || w[1] || '`' || chr(10) || '2) `' || w[2] || '`' || chr(10) || '3. ' || w[3] || ' from ' || w[4]
-  WHEN 1 THEN 'pip install ' || w[1] || ' ' || w[2] || chr(10) || 'then' || chr(10) || 'pip  install -U ' || w[3] || chr(10) || 'pip install ' || w[4] || '==1.0'
-  WHEN 2 THEN w[1] || ', ' || w[2] || chr(10) || 'Note: ' || w[3] || ', ' || w[4]
-  WHEN 3 THEN 'Run:' || chr(10) || '```python' || chr(10) || 'import ' || w[1] || '.' || w[2] || chr(10) || 'from ' || w[3] || ' import ' || w[4] || chr(10) || '```' || chr(10) || w[1] || ', ' || w[4]
-  WHEN 4 THEN '<think>' || w[1] || ' ' || w[2] || '</think>  ' || w[3] || ', ' || w[4] || ' '
-  ELSE '* ' || w[1] || chr(13) || chr(10) || '* ' || w[2] || chr(13) || chr(10) || '* ' || w[3] || '_path' || chr(13) || chr(10) || '* get' || w[4] END AS t
-FROM (SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM documents) WHERE len(w) >= 4
+_AT = [f"w0[(4 * g + {i}) % len(w0) + 1]" for i in range(4)]
+DOMAIN = rf"""
+SELECT doc_id, source, CASE WHEN len(w0) >= 4 THEN w0 ELSE list_transform(range(0, 4), lambda i: w0[i % len(w0) + 1]) END AS w,
+array_to_string(list_transform(range(0, (len(w0) - 1) // 4 + 1), lambda g: CASE doc_id % 6
+  WHEN 0 THEN '1. `' || {_AT[0]} || '`' || chr(10) || '2) `' || {_AT[1]} || '`' || chr(10) || '3. ' || {_AT[2]} || ' from ' || {_AT[3]}
+  WHEN 1 THEN 'pip install ' || {_AT[0]} || ' ' || {_AT[1]} || chr(10) || 'then' || chr(10) || 'pip  install -U ' || {_AT[2]} || chr(10) || 'pip install ' || {_AT[3]} || '==1.0'
+  WHEN 2 THEN {_AT[0]} || ', ' || {_AT[1]} || chr(10) || 'Note: ' || {_AT[2]} || ', ' || {_AT[3]}
+  WHEN 3 THEN 'Run:' || chr(10) || '```python' || chr(10) || 'import ' || {_AT[0]} || '.' || {_AT[1]} || chr(10) || 'from ' || {_AT[2]} || ' import ' || {_AT[3]} || chr(10) || '```' || chr(10) || {_AT[0]} || ', ' || {_AT[3]}
+  WHEN 4 THEN '<think>' || {_AT[0]} || ' ' || {_AT[1]} || '</think>  ' || {_AT[2]} || ', ' || {_AT[3]} || ' '
+  ELSE '* ' || {_AT[0]} || chr(13) || chr(10) || '* ' || {_AT[1]} || chr(13) || chr(10) || '* ' || {_AT[2]} || '_path' || chr(13) || chr(10) || '* get' || {_AT[3]} END), chr(10)) AS t
+FROM (SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS w0 FROM documents) WHERE len(w0) > 0
 """
 
 
