@@ -104,6 +104,7 @@ class Voter:
         for _ in range(4):  # subspace iteration towards the leading right singular vectors
             basis, _ = np.linalg.qr(a.T @ (a @ basis)) if len(a) else (basis, None)
         _, _, vt = np.linalg.svd(a @ basis, full_matrices=False) if len(a) else (None, None, np.eye(basis.shape[1]))
+        del a
         self.project = np.ascontiguousarray(basis @ vt[:dims].T, np.float32) * self.idf[:, None]
         self.vectors, self.labels = _unit(x @ self.project), y.astype(np.float32)
 
@@ -135,11 +136,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, modulus: int = 4
     ids = known.join(docs.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     at_hand = spark.createDataFrame(ids.toPandas(), "doc_id long, quality int")  # at most `sample` ids
     found = docs.select("doc_id", "text").join(F.broadcast(at_hand), "doc_id")
-    rows = found.select("text", F.col("quality").cast("int").alias("label")).mapInArrow(_vectors, "label int, x binary").limit(2 * sample).toArrow()
+    # of several texts under one id the one of least hash
+    one = found.groupBy("doc_id").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"), F.first("quality").cast("int").alias("label"))
+    rows = one.select("text", "label").mapInArrow(_vectors, "label int, x binary").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, _TERMS).astype(np.float32)
     y = np.array(rows["label"].to_pylist(), np.float32)
+    del rows
     order = np.lexsort(np.column_stack([x[:, ::97], y]).T) if len(y) else np.arange(0)  # the order rows come in must not matter
-    return Voter(x[order], y[order])
+    x = x[order]  # one copy at a time in the driver's memory
+    return Voter(x, y[order])
 
 
 def score(docs: DataFrame, voter: Voter, threshold: float = 0.7, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
