@@ -14,15 +14,18 @@ from namesift.operators import split
 def locate(names: Column, hallucinated: Column) -> Column:
     """For each name its place and character span in the names joined by comma and blank."""
     low = F.transform(hallucinated, F.lower)
+    starts = F.aggregate(names, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 2)))
 
-    def one(p: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(names, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 2)
+    def one(s: Column, p: Column, i: Column) -> Column:
+        start = F.get(s["starts"], i)
         return F.struct(
-            p.alias("package_name"), (F.array_contains(hallucinated, p) | F.array_contains(low, F.lower(p))).alias("is_hallucinated"), i.alias("position_idx"), (i == 0).alias("is_first"),
+            p.alias("package_name"), (F.array_contains(hallucinated, p) | F.array_contains(s["low"], F.lower(p))).alias("is_hallucinated"), i.alias("position_idx"), (i == 0).alias("is_first"),
             F.when(i > 0, ", ").otherwise("").alias("preceding_separator"), start.alias("char_start"), (start + F.length(p)).alias("char_end"),
         )
 
-    return F.transform(names, one)
+    # all offsets as a lambda's variable, or each name would sum them anew
+    made = F.struct(names.alias("names"), starts.alias("starts"), low.alias("low"))
+    return F.get(F.transform(F.filter(F.array(made), lambda s: s["names"].isNotNull()), lambda s: F.transform(s["names"], lambda p, i: one(s, p, i))), F.lit(0))
 
 
 def originals(base: DataFrame) -> DataFrame:
