@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,9 @@ from namesift.llm.common import discard, id_remainder, materialise, partitions,
 #: What ends each text in the model: as many of it as the depth before a text are the first context, one after it is coded.
 END = 0
 _GATHERED = "kind int, block long, part int, a binary, b binary"
-_WORDS, _DOCS, _TREE, _KEYS, _TEXTS = 0, 1, 2, 3, 4
+_WORDS, _DOCS, _TREE = 0, 1, 2
+#: Keys and texts are shuffled in so many groups, one after the other, and lie in kinds from these two on, for the disk's sake.
+GROUPS, _KEY_GROUP, _TEXT_GROUP = 4, 16, 32
 _NODES = np.array([[(1 << i) | (b >> (8 - i)) for i in range(8)] for b in range(256)])
 _BITS = np.array([[(b >> (7 - i)) & 1 for i in range(8)] for b in range(256)])
 _LGAMMA_HALF = math.lgamma(0.5)
@@ -122,8 +125,8 @@ def _gather(parts: int, depth: int, key_parts: int):
             if depth > TABLE:
                 before, last = [k[5] for k in keys], [k[4] for k in keys]
                 coded, lens = deeptree.keys_of(raw, before, last, depth)
-                out += [(_KEYS, block, p, a, b) for p, a, b in deeptree.block_keys(coded, np.repeat(train, lens), key_parts, depth)]
-                out.append((_TEXTS, block, -1, *deeptree.pack_texts(keys, raw, before, last)))
+                out += [(_KEY_GROUP + p % GROUPS, block, p, a, b) for p, a, b in deeptree.block_keys(coded, np.repeat(train, lens), key_parts, depth)]
+                out.append((_TEXT_GROUP + (task + n_block - 1) % GROUPS, block, -1, *deeptree.pack_texts(keys, raw, before, last)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "block", "part", "a", "b"])
             # the tree's counts, from the training texts alone
             learn = [(x, k[5], k[4]) for x, k in zip(raw, keys, strict=True) if k[2] and depth <= TABLE]
@@ -260,22 +263,41 @@ def _results(n_all: int) -> list[Column]:
 def _deep(gathered: DataFrame, parts: int, depth: int) -> DataFrame:
     """(row, score, n_bytes) of all texts, from the counts of contexts of up to `depth` bytes."""
     spark = gathered.sparkSession
-    keys = gathered.where(f"kind = {_KEYS}").select("block", "part", "a", "b")
-    top = keys.groupBy("part").applyInPandas(deeptree.part_top(depth), "last int, a binary, b binary")
-    rows = top.groupBy("last").applyInPandas(deeptree.last_byte, "last int, second binary, p binary, w binary").collect()
+    kinds = range(_KEY_GROUP, _KEY_GROUP + GROUPS)
+
+    def each_part(kind: int, run, schema: str) -> DataFrame:
+        return gathered.where(f"kind = {kind}").select("block", "part", "a", "b").groupBy("part").applyInPandas(run, schema)
+
+    def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        out = materialise(df, name, by)
+        release(spark)
+        return out
+
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, tables)
+
+    tops = [written(each_part(k, deeptree.part_top(depth), "last int, a binary, b binary"), "ctw-top") for k in kinds]
+    rows = all_of(tops).groupBy("last").applyInPandas(deeptree.last_byte, "last int, second binary, p binary, w binary").collect()
     model = spark.sparkContext.broadcast(deeptree.upper(rows))
-    del top, rows
-    release(spark)
-    scores = materialise(keys.groupBy("part").applyInPandas(deeptree.part_scores(depth, model), "block long, part int, s binary"), "ctw-code-lengths")
-    discard(gathered, f"kind={_KEYS}")
-    release(spark)
-    texts = gathered.where(f"kind = {_TEXTS}").select("block", "a", "b")
-    pieces = texts.groupBy("block").cogroup(scores.groupBy("block")).applyInPandas(deeptree.block_scores(parts, depth), "row long, score double, n_bytes long")
-    out = materialise(pieces.groupBy("row").agg(F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes")), "ctw-deep")
-    discard(gathered, f"kind={_TEXTS}")
-    discard(scores)
-    del pieces
-    release(spark)
+    del rows
+    # the group of a block's texts
+    own = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(GROUPS)).cast("int").alias("own")
+    lengths = []
+    for top, k in zip(tops, kinds, strict=True):
+        discard(top)
+        lengths.append(written(each_part(k, deeptree.part_scores(depth, model), "block long, part int, s binary").select("block", "part", "s", own), "ctw-code-lengths", "own"))
+        discard(gathered, f"kind={k}")
+    pieces = []
+    for g in range(GROUPS):
+        texts = gathered.where(f"kind = {_TEXT_GROUP + g}").select("block", "a", "b")
+        scores = all_of([x.where(f"own = {g}").select("block", "part", "s") for x in lengths])
+        pieces.append(written(texts.groupBy("block").cogroup(scores.groupBy("block")).applyInPandas(deeptree.block_scores(parts, depth), "row long, score double, n_bytes long"), "ctw-pieces"))
+        for x in lengths:
+            discard(x, f"own={g}")
+        discard(gathered, f"kind={_TEXT_GROUP + g}")
+    out = written(all_of(pieces).groupBy("row").agg(F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes")), "ctw-deep")
+    for x in pieces + lengths:
+        discard(x)
     return out
 
 
@@ -299,7 +321,6 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, depth: int = TAB
     out_of = id_remainder("doc_id", modulus) == held_out
     given = docs.select("doc_id", "text", (~out_of).alias("train"), F.xxhash64("text").alias("hash"))
     gathered = materialise(given.mapInArrow(_gather(max(64, partitions(spark)), depth, key_parts), _GATHERED), "ctw-gathered", "kind")
-    deep = _deep(gathered, key_parts, depth) if depth > TABLE else None
     words = gathered.where(f"kind = {_WORDS}")
     counts = materialise(words.select("block", "part", "a").groupBy("part").applyInPandas(_merge_words, "block long, part int, c binary"), "ctw-counts")
     totals = np.sum([np.frombuffer(r["c"], np.int64) for r in counts.where("block = -1").select("c").collect()] or [np.zeros(2, np.int64)], axis=0)
@@ -314,8 +335,11 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, depth: int = TAB
     if depth > TABLE:
         base = materialise(base, "ctw-words")
         discard(counts)
-        discard(gathered)
+        for kind in (_WORDS, _DOCS):
+            discard(gathered, f"kind={kind}")
         release(spark)
+        deep = _deep(gathered, key_parts, depth)
+        discard(gathered)
         return base.join(deep, "row").select("doc_id", *_results(n_all))
     subtrees = gathered.where(f"kind = {_TREE}").select("part", "a", "b").groupBy("part").applyInPandas(_subtree, "part int, p binary, w binary").collect()
     table = spark.sparkContext.broadcast(predictions(subtrees))
