@@ -19,6 +19,8 @@ PARTIAL = "query_id long, vec_id long, score long"
 BLOCK_DIMS = 16
 #: Queries whose partial scores are held at once.
 QUERY_ROWS = 256
+#: The range of a score; what lies beyond counts as its end.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Candidates whose partial scores are held at once.
 CANDIDATE_ROWS = 4096
 
@@ -46,10 +48,10 @@ def _matrix(vectors: pa.ListArray, dims: int) -> np.ndarray:
 def branch_and_bound(q: np.ndarray, c: np.ndarray, tau: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query row: (row, candidate rows, scores) of every candidate that can reach its k best, tau being scores that k earlier candidates reach."""
     dims = q.shape[1]
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dims, 1)
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(dims, 1)
     exact = most < 2**52
     if not exact:  # beyond what a double adds without rounding: whole integers, no bounds
-        scores = q.astype(object) @ c.T.astype(object)
+        scores = np.clip(q.astype(object) @ c.T.astype(object), LEAST, MOST)
         for i in range(len(q)):
             yield i, np.arange(len(c)), scores[i]
         return
@@ -117,7 +119,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = 3
     vec_id is not counted. Queries go out in blocks of at most about `block` vectors, one scan of the candidates
     for each block, so that a broadcast never grows with the data. Each task sends at most k rows a query.
     A query row that repeats wholly counts once; repeated candidate rows each take a rank. Empty tables give no rows.
-    Vectors of unequal length meet as if padded with zeros. Returns query_id, rank (from 1), vec_id, score.
+    Vectors of unequal length meet as if padded with zeros. Components and scores beyond a long count as its ends,
+    so that such scores tie. Returns query_id, rank (from 1), vec_id, score.
     """
     spark = queries.sparkSession
     q = queries.dropDuplicates(["vec_id"])

@@ -80,3 +80,11 @@ def test_pairs_that_merging_leaves_apart():
     for x, y, o in zip(a, b, ok, strict=True):
         alone = codec.merge(codec.bytes[x]) == [x] and codec.merge(codec.bytes[y]) == [y]
         assert not alone or o == (codec.merge(codec.bytes[x] + codec.bytes[y]) == [x, y])
+
+
+def test_scores_beyond_a_long(spark):
+    """Huge finite components neither crash nor wrap: scores stop at the ends of a long and tie there."""
+    data = [(0, [1e30, 0.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [0.0, 1.0]), (4, [1e30, 1.0])]
+    v = topk.quantise(spark.createDataFrame(data, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024)
+    got = [(r.vec_id, r.score) for r in topk.top_k(v.where("vec_id = 0"), v, 4).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (4, 2**63 - 1), (3, 0), (2, -(2**63))]
