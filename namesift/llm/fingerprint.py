@@ -20,15 +20,18 @@ from namesift.llm.common import partitions, small_batches
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 4
+#: Values of a sketch lie below; a mark, the smallest hash of a text that has none below the fraction, does not.
+LIMIT = 1 << 32
 #: Documents in one range of ids, about.
 RANGE_ROWS = 4096
 
 
 def sketches(raw: list[bytes]) -> list[np.ndarray]:
-    """The sorted 32-bit sketch of each text.
+    """The sorted sketch of each text.
 
     Words are taken as they are. A text of one to four words is one shingle. Where no hash is below the fraction the
-    smallest is kept, so that only texts without words have an empty sketch.
+    sketch is a mark, the smallest hash whole: it tells short texts apart and equals no hash that other sketches keep.
+    Only texts without words have an empty sketch.
     """
     w = blocks.words(raw, False)
     n = w.hashes.size
@@ -43,31 +46,43 @@ def sketches(raw: list[bytes]) -> list[np.ndarray]:
     whole = (left == SHINGLE) | ((np.arange(n) == first[w.text]) if n else np.empty(0, bool))
     small = (h < np.uint64((1 << 34) // SCALE)) & whole
     kept = np.concatenate([[0], np.cumsum(small)])
-    low = h[small].astype(np.uint32)
+    low = h[small]
     out = []
     for a, b in zip(first, last, strict=True):
         x = np.unique(low[kept[a] : kept[b]])
         if not x.size and b > a:
-            x = np.array([h[a:b][whole[a:b]].min()], np.uint64).astype(np.uint32)
+            x = np.array([h[a:b][whole[a:b]].min()], np.uint64)
         out.append(x)
     return out
 
 
+def marked(sketch: np.ndarray) -> bool:
+    """Whether the sketch has a mark alone."""
+    return bool(sketch.size) and int(sketch[-1]) >= LIMIT
+
+
 def text_of(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    """Eight hex digits a hash; a mark has nine."""
+    return f"{int(sketch[0]):09x}" if marked(sketch) else sketch.astype(">u4").tobytes().hex()
 
 
 def of_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
+    return np.array([int(fingerprint, 16)], np.uint64) if len(fingerprint) == 9 else np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint64)
 
 
 def merge(a: str, b: str) -> str:
-    """The fingerprint of two texts together."""
-    return text_of(np.union1d(of_text(a), of_text(b)))
+    """The fingerprint of two texts' shingles together: their hashes, or the smaller mark where neither has any."""
+    x = np.union1d(of_text(a), of_text(b))
+    return text_of(x[x < LIMIT] if (x < LIMIT).any() else x[:1])
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of a that is in b; two empty sketches are alike, an empty and another are not."""
+    """The share of a that is in b; two empty sketches are alike, an empty and another are not.
+
+    A mark says nothing about other texts: it is alike to the same mark alone, and whether its text is part of a
+    longer one cannot be told from sketches of this fraction. That befalls a text of n shingles with probability
+    (1 - 1 / SCALE) ** n; judge those by their texts.
+    """
     if not a.size or not b.size:
         return float(a.size == b.size)
     return np.intersect1d(a, b, assume_unique=True).size / a.size
