@@ -1,7 +1,7 @@
 """Licence scans by sentences: sentences become identifiers, and identifier sequences meet ordered rules.
 
 A text is cut into sentences and normalised. Each sentence that a pattern of the table knows becomes its
-identifier; all others drop out. Rules, in order of rank, name a licence for a sequence of identifiers; where one
+identifier; all others drop out. Wrapped lines are joined first, so that a notice may be set in lines or as a comment. Rules, in order of rank, name a licence for a sequence of identifiers; where one
 matches, its identifiers are used up, so that a more general rule after it does not name the same text again.
 """
 
@@ -25,16 +25,28 @@ class Rule(NamedTuple):
     sequence: tuple[str, ...]
 
 
+#: Parts of the sentences about the GNU licences.
+GNU = r"general public licen[sc]e (as published by the free software foundation )?(either )?(version |v)"
+LESSER = r"\b(lesser|library) "
+LATER = r"( of the licen[sc]e)? or (at your option )?(any )?later\b"
 #: Known licence sentences; the first that matches names the sentence.
 SENTENCES = (
+    Sentence("denied", r"\bnot (been )?(released|licen[sc]ed|distributed|covered|available|provided) under\b"),
     Sentence("apache2", r"\blicen[sc]ed under (the )?apache licen[sc]e (,? ?version |v)?2(\.0)?"),
     Sentence("apache2", r"\bapache licen[sc]e (version )?2\.0\b"),
     Sentence("apacheUrl", r"\bwww\.apache\.org licenses license-2\.0"),
-    Sentence("lgpl3", r"\b(gnu )?(lesser|library) general public licen[sc]e (as published by the free software foundation )?(version |v)3"),
-    Sentence("lgpl2", r"\b(gnu )?(lesser|library) general public licen[sc]e (as published by the free software foundation )?(version |v)2"),
-    Sentence("agpl3", r"\baffero general public licen[sc]e (as published by the free software foundation )?(version |v)3"),
-    Sentence("gpl3", r"\bgeneral public licen[sc]e (as published by the free software foundation )?(either )?(version |v)3"),
-    Sentence("gpl2", r"\bgeneral public licen[sc]e (as published by the free software foundation )?(either )?(version |v)2"),
+    Sentence("lgpl3Later", LESSER + GNU + r"3(\.0)?" + LATER),
+    Sentence("lgpl21Later", LESSER + GNU + r"2\.1" + LATER),
+    Sentence("lgpl2Later", LESSER + GNU + r"2(\.0)?" + LATER),
+    Sentence("agpl3Later", r"\baffero " + GNU + r"3(\.0)?" + LATER),
+    Sentence("gpl3Later", r"\b" + GNU + r"3(\.0)?" + LATER),
+    Sentence("gpl2Later", r"\b" + GNU + r"2(\.0)?" + LATER),
+    Sentence("lgpl3", LESSER + GNU + "3"),
+    Sentence("lgpl21", LESSER + GNU + r"2\.1"),
+    Sentence("lgpl2", LESSER + GNU + "2"),
+    Sentence("agpl3", r"\baffero " + GNU + "3"),
+    Sentence("gpl3", r"\b" + GNU + "3"),
+    Sentence("gpl2", r"\b" + GNU + "2"),
     Sentence("orLater", r"^(or at your option |either version [0-9.]+ (of the license )?or )?any later version"),
     Sentence("mit", r"\b(under|of) the (terms of the )?mit licen[sc]e\b"),
     Sentence("mitGrant", r"^permission is hereby granted free of charge to any person obtaining a copy"),
@@ -43,7 +55,7 @@ SENTENCES = (
     Sentence("bsd2", r"\b(2-clause|two-clause|simplified) bsd licen[sc]e|\bbsd[- ]2-clause\b"),
     Sentence("bsd", r"\bbsd licen[sc]e\b"),
     Sentence("bsdRedistribution", r"^redistribution and use in source and binary forms"),
-    Sentence("bsdEndorse", r"^neither the name of .* may be used to endorse or promote"),
+    Sentence("bsdEndorse", r"^(neither )?the names? of .* may (not )?be used to endorse or promote"),
     Sentence("mpl2", r"\bmozilla public licen[sc]e (version |v ?)?2\.0"),
     Sentence("epl2", r"\beclipse public licen[sc]e (version |- ?v? ?|v ?)?2\.0"),
     Sentence("isc", r"\bisc licen[sc]e\b"),
@@ -60,7 +72,14 @@ SENTENCES = (
 )
 #: In order of rank: longer and more specific sequences come first.
 RULES = (
+    Rule("LGPL-3.0-or-later", ("lgpl3Later",)),
+    Rule("LGPL-2.1-or-later", ("lgpl21Later",)),
+    Rule("LGPL-2.0-or-later", ("lgpl2Later",)),
+    Rule("AGPL-3.0-or-later", ("agpl3Later",)),
+    Rule("GPL-3.0-or-later", ("gpl3Later",)),
+    Rule("GPL-2.0-or-later", ("gpl2Later",)),
     Rule("LGPL-3.0-or-later", ("lgpl3", "orLater")),
+    Rule("LGPL-2.1-or-later", ("lgpl21", "orLater")),
     Rule("LGPL-2.0-or-later", ("lgpl2", "orLater")),
     Rule("AGPL-3.0-or-later", ("agpl3", "orLater")),
     Rule("GPL-3.0-or-later", ("gpl3", "orLater")),
@@ -69,6 +88,7 @@ RULES = (
     Rule("MIT", ("mitGrant", "mitNotice")),
     Rule("BSD-3-Clause", ("bsdRedistribution", "bsdEndorse")),
     Rule("LGPL-3.0", ("lgpl3",)),
+    Rule("LGPL-2.1", ("lgpl21",)),
     Rule("LGPL-2.0", ("lgpl2",)),
     Rule("AGPL-3.0", ("agpl3",)),
     Rule("GPL-3.0", ("gpl3",)),
@@ -95,8 +115,12 @@ RULES = (
     Rule("proprietary", ("allRights",)),
     Rule("unknown-licence", ("someLicence",)),
 )
-#: A sentence ends at a line break, or at . ! ? ; before white space.
-END = r"[\n\r]+|[.!?;][\x20\x09-\x0D]+"
+#: A line goes on in the next one, behind the signs of a comment, where that begins in lower case, with a digit or a bracket.
+WRAPPED = r"[\x20\x09]*\r?\n(?:#+[\x20\x09]*|//+[\x20\x09]*|[\x20\x09]+\*[\x20\x09]+|[\x20\x09]*)([a-z0-9(])"
+#: It also does where it ends in a comma or a word that ends no sentence.
+OPEN = r"([\x20\x09](?:the|The|of|by|under|and|or|to|in|a|an|GNU|Lesser|Library|Affero|General|Public|Apache|MIT|BSD|version|Version)|,)[\x20\x09]*\r?\n(?:#+[\x20\x09]*|//+[\x20\x09]*|[\x20\x09]+\*[\x20\x09]+|[\x20\x09]*)([A-Za-z0-9(])"
+#: A sentence ends at any other line break, or at . ! ? before white space.
+END = r"[\n\r]+|[.!?][\x20\x09-\x0D]+"
 #: Texts without any of these have no known sentence.
 HINT = r"(?i)licen[sc]e|public domain|rights reserved|permission is hereby|redistribution and use|endorse or promote|above copyright notice|any later version|\bcc0|\bcc by|creative commons|bsd[- ][23]-clause"
 
@@ -115,7 +139,8 @@ def sentence_ids(text: Column) -> Column:
             out = F.when(s.rlike(k.pattern), F.lit(k.id)).otherwise(out)
         return out
 
-    parts = F.transform(F.filter(F.split(text, END, -1), lambda s: s.rlike(HINT)), lambda s: normalise(s))
+    joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, " $1"), OPEN, "$1 $2")
+    parts = F.transform(F.filter(F.split(joined, END, -1), lambda s: s.rlike(HINT)), lambda s: normalise(s))
     return F.filter(F.transform(parts, known), lambda s: s != "")
 
 

@@ -123,10 +123,12 @@ def _op2_sql() -> str:
         )
     n = len(licences.RULES)
     end, hint = _quoted(licences.END), _quoted(licences.HINT)
+    joined = rf"regexp_replace(regexp_replace(t, {_quoted(licences.WRAPPED)}, ' \1', 'g'), {_quoted(licences.OPEN)}, '\1 \2', 'g')"
     norm = "trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.+-]+', ' ', 'g'), ' .-')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
-p AS (SELECT k, unnest(string_split_regex(t, {end})) AS x, generate_subscripts(string_split_regex(t, {end}), 1) AS i FROM d WHERE regexp_matches(t, {hint})),
+w AS (SELECT k, {joined} AS t FROM d WHERE regexp_matches(t, {hint})),
+p AS (SELECT k, unnest(string_split_regex(t, {end})) AS x, generate_subscripts(string_split_regex(t, {end}), 1) AS i FROM w),
 q AS (SELECT k, i, {norm} AS s FROM p WHERE regexp_matches(x, {hint})),
 c AS (SELECT k, i, {known} AS id FROM q),
 g AS (SELECT k, list(id ORDER BY i) AS ids FROM c WHERE id <> '' GROUP BY k),
