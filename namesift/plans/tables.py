@@ -18,7 +18,8 @@ def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     # generators, so that w and t are made once for each document and not again in each expression over them
     x = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array(w)).alias("w")).where(F.size("w") > 0)
-    at = lambda i: F.get("w", F.pmod(i, F.size("w")))
+    # never a remainder by 0: a filter's place in the plan is not fixed, and texts without words may be met before it
+    at = lambda i: F.get("w", F.pmod(i, F.greatest(F.size("w"), F.lit(1))))
     groups = F.sequence(F.lit(0), F.expr("(size(w) - 1) div 4").cast("int"))
     t = F.array_join(F.transform(groups, lambda g: _shaped([at(4 * g + i) for i in range(4)])), "\n")
     long = F.when(F.size("w") >= 4, F.col("w")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(3)), at))

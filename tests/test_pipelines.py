@@ -67,7 +67,7 @@ def test_cli(spark, tmp_path, capsys):
 
 
 def test_every_shape_of_answer_is_there(spark):
-    n = {r[0]: r[1] for r in tables.domain_text(spark, SF).groupBy((tables.F.col("doc_id") % 6).alias("k")).count().collect()}
+    n = {r[0]: r[1] for r in tables.whole_text(spark, SF).groupBy((tables.F.col("doc_id") % 6).alias("k")).count().collect()}
     assert set(n) == set(range(6)) and min(n.values()) > 10
 
 
