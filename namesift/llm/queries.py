@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, ctw, fingerprint, licences, linedup, mixing, neardup, quality, secrets, topk
+from namesift.llm import bpe, ctw, fingerprint, licences, linedup, manifest, mixing, neardup, quality, secrets, topk
 from namesift.llm.common import table
 
 
@@ -166,6 +166,50 @@ FROM d LEFT JOIN z USING (k)
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH RECURSIVE f(doc_id, source, start, leaf, other) AS (
+  SELECT doc_id, source, concat(d, s, l, n), sha256(concat(d, s, l, n, coalesce(strlen(text) || ':' || text, '-'))),
+         sha256(concat(d, s, l, n, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')))
+  FROM (SELECT *, coalesce(strlen(doc_id :: VARCHAR) || ':' || doc_id, '-') AS d, coalesce(strlen(source) || ':' || source, '-') AS s,
+               coalesce(strlen(lang) || ':' || lang, '-') AS l, coalesce(strlen(n_chars :: VARCHAR) || ':' || n_chars, '-') AS n FROM documents)),
+c AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295 :: BIGINT], list_transform(string_split(doc_id :: VARCHAR, ''), lambda x: ascii(x) :: BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0] :: BIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384 :: BIGINT) ELSE x >> 1 END)), 4294967295 :: BIGINT) AS crc FROM f),
+leaves AS MATERIALIZED (
+  SELECT doc_id, source, leaf, CASE WHEN crc % 5 = 0 THEN other ELSE leaf END AS own,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM c),
+t AS (
+  SELECT source, 0 AS lev, r, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT source, lev + 1, r // 16, sha256(string_agg(h, '' ORDER BY r)), any_value((n + 15) // 16) FROM t WHERE n > 1 GROUP BY source, lev, r // 16),
+subs AS MATERIALIZED (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lev, r, subroot AS h, n FROM subs
+  UNION ALL
+  SELECT lev + 1, r // 16, sha256(string_agg(h, '' ORDER BY r)), any_value((n + 15) // 16) FROM u WHERE n > 1 GROUP BY lev, r // 16),
+x AS (SELECT source, lev, r // 16 AS run, string_agg(h, '' ORDER BY r) AS hs, any_value(n) AS n FROM t GROUP BY ALL),
+y AS (SELECT lev, r // 16 AS run, string_agg(h, '' ORDER BY r) AS hs, any_value(n) AS n FROM u GROUP BY ALL),
+w AS (
+  SELECT doc_id, source, leaf, r AS pos, 0 AS lev, r, own AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.source, leaf, pos, w.lev + 1, r // 16, sha256(concat(hs[1:64 * (r % 16)], h, hs[64 * (r % 16) + 65:])), concat(proof, hs[1:64 * (r % 16)], hs[64 * (r % 16) + 65:])
+  FROM w JOIN x ON w.source IS NOT DISTINCT FROM x.source AND w.lev = x.lev AND w.r // 16 = x.run AND x.n > 1),
+p AS (SELECT w.doc_id, w.source, leaf, subroot, pos, h, proof, subs.r FROM w JOIN subs ON w.source IS NOT DISTINCT FROM subs.source
+      QUALIFY row_number() OVER (PARTITION BY w.source, pos ORDER BY lev DESC) = 1),
+z AS (
+  SELECT doc_id, source, pos, leaf, subroot, 0 AS lev, r, h, proof FROM p
+  UNION ALL
+  SELECT doc_id, source, pos, leaf, subroot, z.lev + 1, r // 16, sha256(concat(hs[1:64 * (r % 16)], h, hs[64 * (r % 16) + 65:])), concat(proof, hs[1:64 * (r % 16)], hs[64 * (r % 16) + 65:])
+  FROM z JOIN y ON z.lev = y.lev AND z.r // 16 = y.run AND y.n > 1),
+e AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY source, pos ORDER BY lev DESC) = 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM u WHERE n = 1) AS verified FROM e
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_licences": op2_licences,
@@ -177,5 +221,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_secrets": op9_secrets,
     "op10_lm_score": op10_lm_score,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op7_linedup": OP7_SQL, "op8_neardup": OP8_SQL, "op9_secrets": _op9_sql(), "op2_licences": _op2_sql()}
+ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op7_linedup": OP7_SQL, "op8_neardup": OP8_SQL, "op9_secrets": _op9_sql(), "op2_licences": _op2_sql(), "op11_merkle_manifest": OP11_SQL}
