@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, ctw, fingerprint, licences, linedup, manifest, mixing, neardup, quality, secrets, topk
+from namesift.llm import bpe, ctw, fingerprint, licences, linedup, manifest, mixing, neardup, quality, secrets, topk, whitening
 from namesift.llm.common import table
 
 
@@ -210,6 +210,10 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proo
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_licences": op2_licences,
@@ -222,5 +226,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_lm_score": op10_lm_score,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op7_linedup": OP7_SQL, "op8_neardup": OP8_SQL, "op9_secrets": _op9_sql(), "op2_licences": _op2_sql(), "op11_merkle_manifest": OP11_SQL}
