@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm import bpe, ctw, fingerprint, licences, linedup, manifest, mixing, neardup, quality, secrets, topk, whitening
+from namesift.llm import bpe, ctw, fingerprint, lattice, licences, linedup, manifest, mixing, neardup, quality, secrets, topk, whitening
 from namesift.llm.common import table
 
 
@@ -210,6 +210,22 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proo
 """
 
 
+def op12_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x :: DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON x = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -226,6 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_lm_score": op10_lm_score,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lattice_neardup": op12_lattice_neardup,
     "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op7_linedup": OP7_SQL, "op8_neardup": OP8_SQL, "op9_secrets": _op9_sql(), "op2_licences": _op2_sql(), "op11_merkle_manifest": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL, "op7_linedup": OP7_SQL, "op8_neardup": OP8_SQL, "op9_secrets": _op9_sql(), "op2_licences": _op2_sql(), "op11_merkle_manifest": OP11_SQL, "op12_lattice_neardup": OP12_SQL}
