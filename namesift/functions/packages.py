@@ -7,12 +7,16 @@ computed more than once.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from namesift.functions import lists
+from namesift.functions.finding import listed
 from namesift.functions.text import SPACE, normalize_python_package, strip
 
 #: Markers of prose, in order of priority.
@@ -20,7 +24,7 @@ PROSE = ("Explanation:", "Note:", "Please note", "Important:", "Additional notes
 #: Cue phrases of a cut-off answer.
 CUT_OFF = ("This command", "Here is an example", "You can install")
 #: Words after a numbered name that make its line a description.
-DESCRIPTIVE = r"(?iU)\bfrom\b|\bclass\b|\bfunction\b|\bdefined in\b|\(defined"
+DESCRIBED = r"\bfrom\b|\bclass\b|\bfunction\b|\bdefined in\b|\(defined"
 #: Endings of variable names.
 VARIABLE = r"(?iU)^.*_(string|data|input|output|result|value|text|file|path|name|var|obj|object|item|list|dict|array|buffer|stream|content|response|request|str|num|int|float|id|idx|key|val|ptr|ref|temp|tmp|flag|bool|char|byte)s?$"
 
@@ -96,15 +100,15 @@ def cut_loop(t: Column) -> Column:
     return F.when(at > 0, F.substring(t, F.lit(1), at)).otherwise(t)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _listed(texts: pd.Series) -> pd.Series:
+    described = re.compile(DESCRIBED, re.IGNORECASE)
+    return texts.map(lambda t: None if t is None else listed(t, described))
+
+
 def numbered(t: Column) -> Column:
-    """Names of a numbered list, without those whose line describes them; null where fewer than two are left."""
-    pattern = r"(?U)(\d+[.)])\s*[`']?([a-zA-Z0-9\-_.]+)[`']?"
-    pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("p"))
-    quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
-    line = lambda x: F.coalesce(F.regexp_substr(t, F.concat(F.lit("(?dU)"), quoted(x["n"]), F.lit(r"\s*[`']?"), quoted(x["p"]), F.lit(r"[`']?[^\n]*"))), F.lit(""))
-    kept = F.transform(F.filter(pairs, lambda x: (F.length(x["p"]) > 2) & ~line(x).rlike(DESCRIPTIVE)), lambda x: x["p"])
-    # at least two are kept only of at least two; in an array, so that it is made once
-    return F.get(F.filter(F.array(kept), lambda k: F.size(k) >= 2), F.lit(0))
+    """Names of a numbered list, without those whose line describes them; null where fewer than two are left. One pass over the text, however long the list."""
+    return _listed(t)
 
 
 def free_form(t: Column) -> Column:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +10,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from namesift.boundary import Tokenizer
 from namesift.functions import lists, prompts
+from namesift.functions.finding import NameFinder, Positions, overlapping
 from namesift.functions.text import normalize_package
 from namesift.operators.align import row_numbers
 
@@ -20,41 +18,12 @@ SPANS = ArrayType(StructType([StructField("s", IntegerType()), StructField("e",
 IGNORE = -100
 
 
-def name_pattern(name: Column) -> Column:
-    """A pattern that finds a normalised name under any separators, as a whole word."""
-    parts = F.filter(F.split(name, "-"), lambda p: p != "")
-    return F.concat(F.lit(r"(?iuU)\b"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit(r"\Q"), p, F.lit(r"\E"))), r"[-_.]+"), F.lit(r"\b"))
-
-
-@lru_cache(4096)
-def _finder(name: str) -> re.Pattern[str] | None:
-    """Of a normalised name under any separators; none for a name without parts."""
-    parts = [re.escape(p) for p in name.split("-") if p]
-    return re.compile(rf"\b{'[-_.]+'.join(parts)}\b", re.IGNORECASE) if parts else None
-
-
-def _disjoint(candidates: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Of candidates (rank, start, end) in order those that meet none taken before, kept sorted by place."""
-    starts, ends, out = [], [], []
-    for _, s, e in candidates:
-        at = bisect_left(starts, e)  # the taken ones that begin before e; the last of them reaches furthest
-        if at and ends[at - 1] > s:
-            continue
-        starts.insert(at, s)
-        ends.insert(at, e)
-        out.append((s, e))
-    return out
-
-
 @F.pandas_udf(SPANS)
 def _spans(texts: pd.Series, names: pd.Series) -> pd.Series:
-    """Places of all names are gathered first, then taken in the order of their names, longest first, where they are free."""
-    out = []
-    for text, keys in zip(texts, names, strict=True):
-        known = [] if text is None or keys is None else sorted(dict.fromkeys(keys), key=lambda k: (-len(k), k))
-        places = [(rank, *m.span()) for rank, k in enumerate(known) if (f := _finder(k)) for m in f.finditer(text)]
-        out.append([{"s": s, "e": e} for s, e in _disjoint(places)])
-    return pd.Series(out)
+    """One automaton for the names of all rows of a batch; each text is read once."""
+    finder = NameFinder({n for keys in names if keys is not None for n in keys})
+    found = [[] if t is None or keys is None else finder.spans(t, list(keys)) for t, keys in zip(texts, names, strict=True)]
+    return pd.Series([[{"s": s, "e": e} for s, e in spans] for spans in found])
 
 
 def find_names(text: Column, names: Column) -> Column:
@@ -67,9 +36,26 @@ def overlaps(s: Column, e: Column, spans: Column) -> Column:
     return F.exists(spans, lambda p: ~((e <= p["s"]) | (p["e"] <= s)))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _mask(s: pd.Series, e: pd.Series, hs: pd.Series, he: pd.Series, vs: pd.Series, ve: pd.Series) -> pd.Series:
+    out = []
+    for row in zip(s, e, hs, he, vs, ve, strict=True):
+        if row[0] is None:
+            out.append(None)
+            continue
+        starts, ends, *spans = (np.asarray([] if x is None else x, np.int64) for x in row)
+        out.append(np.where(overlapping(starts, ends, spans[0], spans[1]), 2, overlapping(starts, ends, spans[2], spans[3])).astype(np.int32))
+    return pd.Series(out)
+
+
 def response_mask(tokens: Column, hallucinated: Column, valid: Column) -> Column:
-    """2 for a token over a hallucinated name, else 1 over a valid one, else 0; 0 for tokens without width."""
-    return F.transform(tokens, lambda t: F.when(t["e"] <= t["s"], 0).when(overlaps(t["s"], t["e"], hallucinated), 2).when(overlaps(t["s"], t["e"], valid), 1).otherwise(0))
+    """2 for a token over a hallucinated name, else 1 over a valid one, else 0; 0 for tokens without width.
+
+    The spans of one kind do not overlap each other, so tokens and spans are sorted and met once. All three must be
+    columns that are there already.
+    """
+    of = lambda c, f: F.transform(c, lambda t: t[f])
+    return _mask(of(tokens, "s"), of(tokens, "e"), of(hallucinated, "s"), of(hallucinated, "e"), of(valid, "s"), of(valid, "e"))
 
 
 def tri_mask(records: DataFrame, tokenizer: Tokenizer, family: str = "llama3", max_length: int = 2048, single_objective_forget: bool = True, template: str = "T1") -> DataFrame:
@@ -113,19 +99,35 @@ def padded(df: DataFrame, batch_size: int, pad: int = 0, multiple: int = 8, key:
     return x.withColumns({c: F.concat(c, F.array_repeat(F.lit(v), F.col("__to") - F.size(c))) for c, v in fill.items() if c in df.columns}).drop("__to")
 
 
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _positions(s: pd.Series, e: pd.Series, names_s: pd.Series, names_e: pd.Series) -> pd.Series:
+    out = []
+    for starts, ends, a, b in zip(s, e, names_s, names_e, strict=True):
+        if starts is None or a is None:
+            out.append(None)
+            continue
+        tokens, row = Positions(np.asarray(starts, np.int64), np.asarray(ends, np.int64)), []
+        for x, y in zip(a, b, strict=True):
+            own = tokens.within(int(x), int(y))
+            near = None if own else tokens.nearest(int(x))
+            row.append(own or ([] if near is None else [near]))
+        out.append(row)
+    return pd.Series(out)
+
+
 def name_token_spans(packages_info: Column, tokens: Column, prompt_size: Column) -> Column:
     """For each name its token positions, the first of them, and the token before it (the prompt's last one for the first name).
 
     A name that no token overlaps takes the token that begins nearest to it, the first of equals. tokens must be a
-    column that is there already: lambda functions cannot hold a tokenizer's call.
+    column that is there already: lambda functions cannot hold a tokenizer's call. Tokens are sorted once a row, each
+    name then finds its own among them.
     """
-    numbered = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t["s"].alias("s"), t["e"].alias("e")))
+    of = lambda c, f: F.transform(c, lambda t: t[f])
+    found = _positions(of(tokens, "s"), of(tokens, "e"), of(packages_info, "char_start"), of(packages_info, "char_end"))
 
-    def one(p: Column) -> Column:
-        own = F.transform(F.filter(numbered, lambda t: (t["s"] < p["char_end"]) & (t["e"] > p["char_start"])), lambda t: t["i"])
-        near = F.array_min(F.transform(numbered, lambda t: F.struct(F.abs(t["s"] - p["char_start"]).alias("d"), t["i"].alias("i"))))["i"]
-        at = F.transform(F.when(F.size(own) > 0, own).when(near.isNotNull(), F.array(near)).otherwise(F.array().cast("array<int>")), lambda i: i + prompt_size)
+    def one(z: Column) -> Column:
+        p, at = z["p"], F.transform(z["at"], lambda i: i + prompt_size)
         first = F.get(at, F.lit(0))
         return F.struct(p["package_name"].alias("package_name"), p["is_hallucinated"].alias("is_hallucinated"), at.alias("positions"), first.alias("package_start"), F.when(p["is_first"], prompt_size - 1).otherwise(first - 1).alias("boundary"))
 
-    return F.transform(packages_info, one)
+    return F.transform(F.arrays_zip(packages_info.alias("p"), found.alias("at")), one)
