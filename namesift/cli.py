@@ -18,7 +18,7 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="namesift")
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *args: [c := sub.add_parser(name), [c.add_argument(f"--{a.rstrip('?')}", required=not a.endswith("?")) for a in args]][0]
-    add("detect", "code", "mode1", "mode2", "whitelist", "false-positives?", "words?", "dataset?", "out")
+    add("detect", "code", "mode1", "mode2", "whitelist", "false-positives?", "words", "dataset?", "out")
     add("scan", "master", "whitelist", "false-positives?", "out")
     add("split", "results", "per-file?", "ratio?", "seed?", "out")
     add("build", "results", "family?", "ratio?", "seed?", "out")
@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = session()
     if a.command == "detect":
         ids = lambda path: readers.with_row_id(readers.read_jsonl(spark, path))
-        words = Words.load(a.words) if a.words else Words()
+        words = Words.load(a.words)
         fp = readers.read_false_positives(spark, a.false_positives) if a.false_positives else None
         results, totals = pipelines.detect_packages(ids(a.code), ids(a.mode1), ids(a.mode2), readers.read_whitelist(spark, a.whitelist), fp, words, a.dataset or "all")
         sinks.save_results(results, totals, a.out)

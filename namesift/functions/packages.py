@@ -31,9 +31,9 @@ VARIABLE = r"(?iU)^.*_(string|data|input|output|result|value|text|file|path|name
 
 @dataclass(frozen=True)
 class Words:
-    """Word lists of the token cleaner. The list of words to delete is long and comes as a parameter, see load()."""
+    """Word lists of the token cleaner. The list of words that are never names is long and must be given, see load()."""
 
-    delete: frozenset[str] = frozenset()
+    delete: frozenset[str]
     #: Fixed values from here on.
     frameworks: tuple[str, ...] = ("django", "flask", "elastic", "apm", "new", "vmware", "rest", "framework")
     legitimate: tuple[str, ...] = ("requests", "responses", "attrs", "datasets", "datatable")
@@ -127,12 +127,12 @@ def _token(part: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(x, rf"(?s)^{SPACE}*([^{SPACE[1:]}+)", 1), r"[^a-zA-Z0-9\-_.]", "")
 
 
-def clean_tokens(parts: Column, words: Words = Words()) -> Column:  # noqa: B008
+def clean_tokens(parts: Column, words: Words) -> Column:
     """The names in the parts of an array, each made once before it is judged."""
     return F.array_compact(F.transform(F.transform(parts, _token), lambda x: _name(x, words)))
 
 
-def clean_token(part: Column, words: Words = Words()) -> Column:  # noqa: B008
+def clean_token(part: Column, words: Words) -> Column:
     """The name in one part; null where there is none."""
     return F.get(clean_tokens(F.array(part), words), F.lit(0))
 
@@ -161,7 +161,7 @@ def rejected(t: Column) -> Column:
     return ~structure & ((F.length(t) >= 2000) | ((periods > 2 * commas) & (periods > 10)) | (cue & ~strip(t).rlike("[.!?`]$")))
 
 
-def extract_packages(df: DataFrame, text: str, out: str, words: Words = Words(), loops: bool = True) -> DataFrame:  # noqa: B008
+def extract_packages(df: DataFrame, text: str, out: str, words: Words, loops: bool = True) -> DataFrame:
     """df with the normalised names in a text column, in order and without repeats; none for null."""
     t = f"__{out}_t"
     # generators, so that each step is made once for each row and not again in each expression over it

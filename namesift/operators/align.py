@@ -4,24 +4,45 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _ranges(df: DataFrame, key: str, parts: int | None) -> Column:
+    """The number of the range of a numeric key that a row is in: cut at approximate quantiles, nulls in range 0."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    known = df.where(F.col(key).isNotNull() & ~F.isnan(F.col(key).cast("double")))
+    cuts = sorted(set(known.stat.approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(key) >= c)) + 1 if cuts else F.lit(1), F.lit(0))
+    return F.when(F.col(key).isNull(), 0).otherwise(at)
+
+
+def sums_before(df: DataFrame, key: str, value: Column, out: str, by: list[str] = [], parts: int | None = None) -> DataFrame:  # noqa: B006
+    """df with out: the sum of value over the rows of a group that come before, in the order of a numeric key; ties in any order.
+
+    No task sees all rows of a group: rows are dealt out by ranges of the key, each range is added up, the few sums of a
+    group's ranges lie in one array and are added up there, and only rows of one range and group are ordered.
+    """
+    x = df.withColumns({"__range": _ranges(df, key, parts), "__value": value})
+    sums = x.groupBy(*by, "__range").agg(F.sum("__value").alias("__s"))
+    rows = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__range", "__s"))).alias("__a"))  # one item a range
+    total = lambda items: F.aggregate(items, F.lit(0).cast(sums.schema["__s"].dataType), lambda t, i: t + F.coalesce(i["__s"], F.lit(0)))
+    each = F.transform("__a", lambda i, k: F.struct(i["__range"].alias("__r"), total(F.slice("__a", F.lit(1), k)).alias("__base")))
+    base = rows.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.inline(each))
+    inside = F.sum("__value").over(Window.partitionBy(*by, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    same = F.col("__range") == F.col("__r")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    y = x.withColumn("__inside", inside).join(base, same)
+    return y.withColumn(out, F.col("__base") + F.coalesce("__inside", F.lit(0))).drop("__range", "__value", "__inside", "__r", "__base", *(f"__by{i}" for i in range(len(by))))
+
+
 def row_numbers(df: DataFrame, key: str, out: str, parts: int | None = None) -> DataFrame:
     """df with out: the number of each row from 0 in the order of a numeric key; ties in any order.
 
     No task sees all rows: ranges of the key are cut at approximate quantiles, counted, and numbered each by itself.
     """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    cuts = sorted(set(df.where(F.col(key).isNotNull()).stat.approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(key) >= c)) + 1 if cuts else F.lit(1), F.lit(0))
-    x = df.withColumn("__range", F.when(F.col(key).isNull(), 0).otherwise(at))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = x.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
-    return x.withColumn(out, inside).join(F.broadcast(base), "__range").withColumn(out, F.col(out) + F.col("__base")).drop("__range", "__base")  # one row for each range
+    return sums_before(df, key, F.lit(1).cast("long"), out, parts=parts)
 
 
 def positional_merge(frames: dict[str, DataFrame], key: str = "row_id") -> DataFrame:

@@ -1,7 +1,8 @@
 """Names against a whitelist: valid, hallucinated, or a known false positive.
 
-Lists are unpivoted once, names are joined as rows, and the lists are put together again by row and context. The
-whitelist is broadcast where its size is known to be small; otherwise the join shuffles by name.
+Lists are unpivoted once, names are joined as rows, and the lists are put together again by row and context. A list of
+names is broadcast where the optimizer knows it to have few bytes. Otherwise the join shuffles by name, and names that
+hold more than a thousandth of all rows, of which there are fewer than a thousand, are dealt out over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 from namesift.functions import imports, lists, packages
 from namesift.functions.text import normalize_pip, normalize_python_package
 
-#: Names in a list that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_NAMES = 2_000_000
+#: Bytes, by the optimizer's estimate, of a list that is broadcast.
+BROADCAST_BYTES = 32 << 20
+#: A name is hot if it has more than one in so many rows; so fewer names than this are.
+HOT = 1000
+#: Tasks that the rows of a hot name are dealt out over.
+SALTS = 64
 
 
 def name_list(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:
@@ -22,9 +27,29 @@ def name_list(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:
     return df.select((normalize_python_package(n) if normalize else n).alias("name")).where("name is not null").distinct()
 
 
-def _small(names: DataFrame) -> DataFrame:
-    """names, broadcast where a bounded count shows that they are few."""
-    return F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
+def _small(names: DataFrame) -> bool:
+    """Whether a list has few bytes, by the plan's statistics: no job runs for it."""
+    return int(str(names._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
+def _salted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows with __salt (0 but for hot names), and the hot names (__hot) with all salts; planned, not run here.
+
+    The salt comes from a row's values and its task, so that a task that runs again deals its rows out alike.
+    """
+    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__hot")).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).scalar()
+    hot = counts.where(F.col("__n") * HOT > total).select("__hot")  # fewer than HOT rows
+    plain = [f"`{c}`" for c, t in rows.dtypes if "map<" not in t and t != "variant"]
+    salt = F.pmod(F.xxhash64(*plain) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
+    x = rows.join(F.broadcast(hot), F.col(name) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), salt).otherwise(0)).drop("__hot")
+    return x, hot
+
+
+def _over_salts(names: DataFrame, hot: DataFrame) -> DataFrame:
+    """names (l_name) with l_salt: 0, and all others too for hot names."""
+    x = names.join(F.broadcast(hot), F.col("l_name") == F.col("__hot"), "left")
+    return x.select("l_name", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("l_salt"))
 
 
 def mentions(df: DataFrame, key: str, contexts: dict[str, str]) -> DataFrame:
@@ -35,14 +60,23 @@ def mentions(df: DataFrame, key: str, contexts: dict[str, str]) -> DataFrame:
 
 
 def flag(names: DataFrame, whitelist: DataFrame, false_positives: DataFrame | None = None, match: Column | None = None) -> DataFrame:
-    """names with is_valid; known false positives that are not in the whitelist are gone. match: what is looked up, else the name."""
-    m = F.col("name") if match is None else match
-    w = _small(whitelist.select(F.col("name").alias("w_name")))
-    x = names.withColumn("m", m).join(w, F.col("m") == F.col("w_name"), "left").withColumn("is_valid", F.col("w_name").isNotNull()).drop("w_name")
+    """names with is_valid; known false positives that are not in the whitelist are gone. match: what is looked up, else the name.
+
+    Repeats in a list count once. Names that are null are not valid.
+    """
+    x = names.withColumn("__m", F.col("name") if match is None else match)
+    given = [(c, d.select(F.col("name").alias("l_name")).where("l_name is not null").distinct()) for c, d in (("is_valid", whitelist), ("__false", false_positives)) if d is not None]
+    small = {c: _small(d) for c, d in given}
+    hot = None
+    if not all(small.values()):
+        x, hot = _salted(x, "__m")
+    for c, d in given:
+        own = F.broadcast(d) if small[c] else _over_salts(d, hot)
+        same = F.col("__m") == F.col("l_name")
+        x = x.join(own, same if small[c] else same & (F.col("__salt") == F.col("l_salt")), "left").withColumn(c, F.col("l_name").isNotNull()).drop("l_name", "l_salt")
     if false_positives is not None:
-        fp = _small(false_positives.select(F.col("name").alias("f_name")))
-        x = x.join(fp, (F.col("m") == F.col("f_name")) & ~F.col("is_valid"), "left_anti")
-    return x.drop("m")
+        x = x.where("is_valid or not __false").drop("__false")
+    return x.drop("__m", "__salt")
 
 
 def check_packages(df: DataFrame, key: str, contexts: dict[str, tuple[str, str, str]], whitelist: DataFrame, false_positives: DataFrame | None = None) -> DataFrame:
@@ -63,9 +97,11 @@ def check_packages(df: DataFrame, key: str, contexts: dict[str, tuple[str, str,
     return x.select(*(F.coalesce(F.col(c), lists.empty()).alias(c) if c in outs else F.col(f"`{c}`") for c in x.columns))
 
 
-def package_search(df: DataFrame, key: str, whitelist: DataFrame, false_positives: DataFrame | None = None, words: packages.Words = packages.Words(), extract: bool = True) -> DataFrame:  # noqa: B008
-    """Both answers' names (Test_1, Test_2) extracted, then one join for both contexts."""
+def package_search(df: DataFrame, key: str, whitelist: DataFrame, false_positives: DataFrame | None = None, words: packages.Words | None = None, extract: bool = True) -> DataFrame:
+    """Both answers' names (Test_1, Test_2) extracted with the word lists given, then one join for both contexts."""
     if extract:
+        if words is None:
+            raise ValueError("extraction needs word lists: Words.load(path), or Words(delete=...)")
         for c in ("Test_1", "Test_2"):
             df = packages.extract_packages(df, c, "__names", words).withColumn(c, lists.distinct_longer(F.col("__names"))).drop("__names")
     return check_packages(df, key, {"Test_1": ("Test_1", "valid_1", "hallucinated_1"), "Test_2": ("Test_2", "valid_2", "hallucinated_2")}, whitelist, false_positives)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namesift.operators.align import sums_before
+
 RATIOS = (0.3, 0.4, 0.5, 0.6, 1.0)
 
 
@@ -50,14 +52,14 @@ def token_weighted(df: DataFrame, log_probs: str = "log_probs", hits: str | None
     return df.groupBy(*([by] if by else [])).agg(*aggs)
 
 
-def auc(df: DataFrame, score: str, label: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
+def auc(df: DataFrame, score: str, label: Column, by: list[str] = [], parts: int | None = None) -> DataFrame:  # noqa: B006
     """Area under the ROC curve by average ranks; null where a class is empty.
 
-    Scores are counted by value first, so what is ranked are distinct values, and equal scores cost no more.
+    Scores are counted by value first, so what is ranked are distinct values, and equal scores cost no more. Ranks are
+    sums over ranges of scores, so that no task has all scores of a group.
     """
     counts = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
-    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    x = counts.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    x = sums_before(counts, "s", F.col("n"), "below", by, parts)
     wins = F.sum(F.col("p").cast("double") * (F.col("below") + F.col("n") / 2))
     return x.groupBy(*by).agg(F.try_divide(wins, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from namesift.functions.text import strip
 
+#: Groups that are shuffled in one place where the generator's own order is asked for; more are an error.
+PYTHON_KEYS = 100_000
+
 
 def order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
@@ -71,8 +74,10 @@ def without_leaks(test: DataFrame, train: DataFrame, key: str = "question") -> D
 
 def _validation(groups: DataFrame, ratio: float, seed: int, order: str) -> DataFrame:
     """(group) of the validation head: max(1, the share rounded half to even) of the shuffled groups, none of a single one."""
-    if order == "python":  # for small key lists alone: the generator's own order needs all keys in one place
-        keys = sorted(r[0] for r in groups.collect())
+    if order == "python":  # the generator's own order needs all keys in one place, so there must be few
+        keys = sorted(r[0] for r in groups.limit(PYTHON_KEYS + 1).collect())
+        if len(keys) > PYTHON_KEYS:
+            raise ValueError(f'more than {PYTHON_KEYS} groups: order="python" shuffles them in one place, order="md5" does not')
         random.Random(seed).shuffle(keys)
         return groups.sparkSession.createDataFrame([(k,) for k in keys[: max(1, round(len(keys) * ratio)) if len(keys) > 1 else 0]], "group string")
     n = groups.count()

@@ -12,7 +12,7 @@ from namesift.functions.text import sanitize
 from namesift.operators import align, classify, contrastive, masks, records, report, split
 
 
-def detect_packages(code: DataFrame, mode_1: DataFrame, mode_2: DataFrame, whitelist: DataFrame, false_positives: DataFrame | None = None, words: packages.Words = packages.Words(), dataset: str = "all") -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def detect_packages(code: DataFrame, mode_1: DataFrame, mode_2: DataFrame, whitelist: DataFrame, false_positives: DataFrame | None, words: packages.Words, dataset: str = "all") -> tuple[DataFrame, DataFrame]:
     """(results, totals) of one dataset: prompts, answers and both answers about packages by row number. The results are computed once each time they are read; write them before reading twice."""
     merged = sanitize(align.merge_prompts_and_packages(code, mode_1, mode_2))
     x = classify.package_search(merged, "row_id", whitelist, false_positives, words)
@@ -20,7 +20,7 @@ def detect_packages(code: DataFrame, mode_1: DataFrame, mode_2: DataFrame, white
     return x, report.list_totals(x.withColumn("dataset", F.lit(dataset)), by="dataset")
 
 
-def detect_datasets(datasets: dict[str, tuple[DataFrame, DataFrame, DataFrame]], whitelist: DataFrame, false_positives: DataFrame | None = None, words: packages.Words = packages.Words()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def detect_datasets(datasets: dict[str, tuple[DataFrame, DataFrame, DataFrame]], whitelist: DataFrame, false_positives: DataFrame | None, words: packages.Words) -> tuple[DataFrame, DataFrame]:
     """(results with dataset, totals by dataset and in all): all datasets in one plan, so that each list is joined once."""
     parts = [sanitize(align.merge_prompts_and_packages(*frames)).withColumns({"dataset": F.lit(name), "__key": F.concat(F.lit(f"{name}|"), F.col("row_id").cast("string"))}) for name, frames in datasets.items()]
     x = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -36,7 +36,7 @@ def detect_legacy(df: DataFrame, model: str, whitelist: DataFrame, false_positiv
     return classify.pip_numbers(x, "row_id", whitelist)
 
 
-def score_completions(completions: DataFrame, whitelist: DataFrame, false_positives: DataFrame | None = None, words: packages.Words = packages.Words()) -> DataFrame:  # noqa: B008
+def score_completions(completions: DataFrame, whitelist: DataFrame, false_positives: DataFrame | None, words: packages.Words) -> DataFrame:
     """Completions (row_index, mode, completion) with their names under the slots of their mode. Fails where a column that is needed lacks."""
     lacking = {"mode", "system_prompt", "user_prompt", "completion"} - set(completions.columns)
     if lacking:

@@ -379,7 +379,7 @@ def dedup_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def extract_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in answers by the whole cleaner."""
-    x = packages.extract_packages(T.whole_text(spark, sf_dir), "t", "names")
+    x = packages.extract_packages(T.whole_text(spark, sf_dir), "t", "names", packages.Words(frozenset(STANDARD)))
     return x.select("doc_id", F.array_join("names", ",").alias("names"))
 
 

@@ -4,11 +4,13 @@ import pytest
 
 from namesift import cli
 from namesift.boundary import WordTokenizer
+from namesift.functions.packages import Words
 from namesift.operators.split import assert_disjoint
 from namesift.plans import pipelines, queries, tables
 from namesift.sources import readers
 
 SF = "/root/testdata/sf0.001"
+WORDS = Words(frozenset({"the"}))
 
 
 def frames(spark):
@@ -20,12 +22,12 @@ def frames(spark):
 def test_detection(spark):
     white = spark.createDataFrame([("numpy",), ("pandas",)], "name string")
     fp = spark.createDataFrame([("scipy",)], "name string")
-    results, totals = pipelines.detect_packages(*frames(spark), white, fp, dataset="d")
+    results, totals = pipelines.detect_packages(*frames(spark), white, fp, WORDS, dataset="d")
     r = results.orderBy("row_id").collect()
     assert (r[0].valid_1, r[0].hallucinated_1, r[0].hallucinated_2, r[0].pip_valid) == (["numpy"], ["nope"], ["nope"], ["numpy"])
     assert (r[1].valid_1, r[1].hallucinated_2, r[1].pip_hallucinated) == (["numpy", "pandas"], [], ["nope"])
     assert totals.where("dataset = 'Totals'").first()[1:] == (3, 1, 0, 1, 1, 1)
-    _, both = pipelines.detect_datasets({"a": frames(spark), "b": frames(spark)}, white, fp)
+    _, both = pipelines.detect_datasets({"a": frames(spark), "b": frames(spark)}, white, fp, WORDS)
     assert both.where("dataset = 'Totals'").first()[1:] == (6, 2, 0, 2, 2, 2)
 
 
@@ -34,10 +36,10 @@ def test_import_scan_and_slots(spark):
     rows, sums = pipelines.scan_master(spark.createDataFrame([(0, "p", "import os, numpy\nimport zzz"), (1, "q", None)], "row_id long, Prompts string, Answers string"), white)
     assert rows.where("row_id = 0").first()[2:] == (["numpy"], ["zzz"]) and sums.first().rate == 50.0
     c = spark.createDataFrame([(0, 2, "s", "u", "numpy, zzz")], "row_index long, mode int, system_prompt string, user_prompt string, completion string")
-    out = pipelines.score_completions(c, white).first()
+    out = pipelines.score_completions(c, white, None, WORDS).first()
     assert out.valid_2 == ["numpy"] and out.hallucinated_2 == ["zzz"] and out.valid_1 is None
     with pytest.raises(ValueError):
-        pipelines.score_completions(c.drop("mode"), white)
+        pipelines.score_completions(c.drop("mode"), white, None, WORDS)
 
 
 def test_split_and_build(spark):
@@ -60,8 +62,9 @@ def test_cli(spark, tmp_path, capsys):
     w("m1.jsonl", [{"response": "numpy, nope"}])
     w("m2.jsonl", [{"response": "numpy"}])
     (tmp_path / "w.csv").write_text("numpy\n")
+    (tmp_path / "words.json").write_text(json.dumps({"delete": ["the"], "frameworks": [], "legitimate_packages": [], "func_prefixes": []}))
     run = tmp_path / "runs" / "base"
-    cli.main(["detect", *(x for k, v in (("code", "code.jsonl"), ("mode1", "m1.jsonl"), ("mode2", "m2.jsonl"), ("whitelist", "w.csv")) for x in (f"--{k}", str(tmp_path / v))), "--out", str(run)])
+    cli.main(["detect", *(x for k, v in (("code", "code.jsonl"), ("mode1", "m1.jsonl"), ("mode2", "m2.jsonl"), ("whitelist", "w.csv"), ("words", "words.json")) for x in (f"--{k}", str(tmp_path / v))), "--out", str(run)])
     cli.main(["report", "--runs", str(tmp_path / "runs"), "--tags", "base=Base,x=X", "--out", str(tmp_path / "rep")])
     assert readers.read_tabular(spark, str(tmp_path / "rep" / "table1_hallucination_rate")).first()[1] == "25.0"
 
