@@ -11,6 +11,7 @@ from namesift.boundary import WordTokenizer
 from namesift.functions import imports, lists, packages, prompts, text
 from namesift.operators import align, classify, contrastive, masks, metrics, records, report, split, vectors
 from namesift.plans import tables as T
+from namesift.plans import twins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,9 +128,9 @@ def method_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.toDF("Variant", "rate", "reduction")
 
 
-@query()
+@query(f"WITH {twins.STRIPPED} SELECT doc_id, cleaned FROM s2")
 def strip_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers without code blocks; SQL here has no lookahead."""
+    """Answers without code blocks."""
     d = T.whole_text(spark, sf_dir)
     return d.select("doc_id", packages.strip_code_blocks(F.col("t")).alias("cleaned"))
 
@@ -272,7 +273,7 @@ def package_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.col("position_idx").cast("long").alias("position_idx"), "package_name", *(F.col(c).cast("long").alias(c) for c in ("char_start", "char_end")), "is_hallucinated")
 
 
-@query()
+@query(twins.tri_mask_counts(_RESULTS))
 def tri_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-way token masks of records with the stand-in tokenizer, counted by split."""
     x = masks.checked(masks.tri_mask(records.extract_records(_results(spark, sf_dir)), WordTokenizer(), single_objective_forget=False))
@@ -288,7 +289,7 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "batch_id", F.size("input_ids").cast("long").alias("padded"), F.size(F.filter("input_ids", lambda i: i == 1)).cast("long").alias("n"))
 
 
-@query()
+@query(twins.contrastive(_RESULTS))
 def contrastive_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrastive records with their shuffled variations."""
     x = contrastive.contrastive(records.extract_records(_results(spark, sf_dir)).drop("row_id"))
@@ -376,7 +377,7 @@ def dedup_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-@query()
+@query(twins.EXTRACT)
 def extract_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in answers by the whole cleaner."""
     x = packages.extract_packages(T.whole_text(spark, sf_dir), "t", "names", packages.Words(frozenset(STANDARD)))
