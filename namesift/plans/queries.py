@@ -318,7 +318,7 @@ def layer_pair_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT label AS layer, (vec_id % 3) :: DOUBLE AS multiplier, count(*) AS num_samples, avg((embedding[1] >= embedding[2]) :: INT) AS acc, avg(embedding[1] :: DOUBLE - embedding[2] :: DOUBLE) AS m FROM embeddings GROUP BY 1, 2)
 SELECT layer, multiplier, num_samples, round(acc, 6) AS matching_accuracy, round(m, 6) AS mean_margin FROM s ORDER BY acc DESC, m DESC, layer, multiplier LIMIT 1""")
 def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.table(spark, sf_dir, "embeddings").select(F.col("label").alias("layer"), (F.col("vec_id") % 3).cast("double").alias("multiplier"), F.col("embedding")[0].cast("double").alias("matching_score"), F.col("embedding")[1].cast("double").alias("not_matching_score"))
+    e = T.table(spark, sf_dir, "embeddings").select(F.col("label").alias("layer"), (F.col("vec_id") % 3).cast("double").alias("multiplier"), F.get("embedding", F.lit(0)).cast("double").alias("matching_score"), F.get("embedding", F.lit(1)).cast("double").alias("not_matching_score"))
     return vectors.best(vectors.sweep(vectors.judge_pairs(e))).select("layer", "multiplier", "num_samples", r6("matching_accuracy").alias("matching_accuracy"), r6("mean_margin").alias("mean_margin"))
 
 

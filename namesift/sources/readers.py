@@ -39,11 +39,11 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 
 def with_row_id(df: DataFrame, rank: str | None = None, start: int = 0) -> DataFrame:
-    """df with row_id: the position over all files, by file (or a rank column), place of the file's block, and place in it.
+    """df with row_id: the position over all files, by a rank column if given, file, place of the file's block, and place in it.
 
     Two counting passes and no global sort: blocks are numbered by a small aggregate, rows inside by their order.
     """
-    x = df.withColumns({"__f": F.col(rank) if rank else F.col("_metadata.file_path"), "__b": F.col("_metadata.file_block_start"), "__m": F.monotonically_increasing_id()})
+    x = df.withColumns({"__f": F.struct(F.col(rank) if rank else F.lit(0), F.col("_metadata.file_path")), "__b": F.col("_metadata.file_block_start"), "__m": F.monotonically_increasing_id()})
     before = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = x.groupBy("__f", "__b").agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("__f", "__b").orderBy("__m")) - 1
