@@ -42,9 +42,57 @@ def test_topk_few_and_none(spark):
 
 
 def test_topk_beyond_doubles():
-    q, c = np.array([[2**31, 3]]), np.array([[2**31, 1], [2**31, 2]])
-    _, rows, scores = next(topk.branch_and_bound(q, c, np.array([-np.inf]), 1))
-    assert list(scores) == [2**62 + 3, 2**62 + 6]
+    query, chunk = topk.Query(np.array([2**31, 3])), topk.Chunk(np.array([[2**31, 1], [2**31, 2], [5, 1]]))
+    rows, scores = chunk.best(query, -np.inf, 1)
+    assert dict(zip(rows.tolist(), scores.tolist(), strict=True)) == {0: 2**62 + 3, 1: 2**62 + 6, 2: 5 * 2**31 + 3}
+    rows, scores = chunk.best(topk.Query(np.array([1, 1])), -np.inf, 3)
+    assert dict(zip(rows.tolist(), scores.tolist(), strict=True)) == {0: 2**31 + 1, 1: 2**31 + 2, 2: 6}
+
+
+def found(vectors, queries, sizes, k=10):
+    search, at = topk.Search(queries, vectors[queries], k), 0
+    for n in sizes:
+        search.meet(np.arange(at, min(at + n, len(vectors))), vectors[at : at + n])
+        at += n
+    return search
+
+
+def of_tables(sf):
+    pq = pytest.importorskip("pyarrow.parquet")
+    t = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet").sort_by("vec_id")
+    return np.floor(1024 * np.array(t["embedding"].to_pylist(), dtype=np.float64)).astype(np.int64)
+
+
+def test_bounds_skip_at_least_half_of_the_products():
+    """On the 2000 vectors of sf0.1, in the one chunk that a task takes; the scores are those of the whole product."""
+    v, ids = of_tables("sf0.1"), np.arange(0, 2000, 100)
+    search = found(v, ids, [4096])
+    whole = len(ids) * v.size
+    assert search.products <= 0.5 * whole
+    for i, (rows, scores) in zip(ids, search.best, strict=True):
+        s = v @ v[i]
+        s[i] = -(1 << 60)
+        want = sorted(zip((-s).tolist(), range(len(v)), strict=True))[:10]
+        assert [(-a, b) for a, b in want] == list(zip(scores.tolist(), rows.tolist(), strict=True))
+
+
+def test_one_extreme_vector_leaves_the_others_their_bounds():
+    v, ids = of_tables("sf0.1"), np.arange(0, 2000, 100)
+    plain = found(v, ids, [4096]).products
+    w = v.copy()
+    w[1999, 3] = 1 << 60
+    search = found(w, ids, [4096])
+    assert abs(search.products - plain) < 0.02 * plain
+    for i, (rows, scores) in zip(ids, search.best, strict=True):
+        s = [max(topk.LEAST, min(topk.MOST, int(x))) for x in w.astype(object) @ w[i].astype(object)]
+        want = sorted((-x, j) for j, x in enumerate(s) if j != i)[:10]
+        assert [(-a, b) for a, b in want] == list(zip(scores.tolist(), rows.tolist(), strict=True))
+
+
+def test_topk_of_unlike_queries_under_one_id(spark):
+    df = spark.createDataFrame([(0, [2.0, 0.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    v = topk.quantise(df, "vec_id", "embedding", 1)
+    assert [tuple(r) for r in topk.top_k(v.where("vec_id = 0"), v).orderBy("rank").collect()] == [(0, 1, 2, 5), (0, 2, 1, 1)]
 
 
 def texts():
