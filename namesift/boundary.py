@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+#: Tokens whose ids a batch keeps at hand.
+KNOWN = 500_000
+
 
 class Tokenizer(Protocol):
     eos: int
@@ -29,16 +35,26 @@ class WordTokenizer:
     def __init__(self) -> None:
         pattern, first = re.compile(self.PATTERN), self.first
 
-        @F.pandas_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("id", "s", "e")])))
-        def run(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("id", "s", "e")])))
+        def run(texts: pa.Array) -> pa.Array:
+            """Numbers of all tokens lie in three flat arrays; no token is a Python object of its own for long."""
             seen: dict[str, int] = {}
+            flat, ends = (array("i"), array("i"), array("i")), array("i", [0])
 
             def of(token: str) -> int:
                 if token not in seen:
+                    if len(seen) >= KNOWN:
+                        seen.clear()
                     seen[token] = first + int(hashlib.md5(token.encode()).hexdigest()[:6], 16)
                 return seen[token]
 
-            return texts.map(lambda t: [{"id": of(m.group()), "s": m.start(), "e": m.end()} for m in pattern.finditer(t or "")])
+            for t in texts:
+                for m in pattern.finditer(t.as_py() or ""):
+                    for column, x in zip(flat, (of(m.group()), m.start(), m.end()), strict=True):
+                        column.append(x)
+                ends.append(len(flat[0]))
+            columns = [pa.array(np.frombuffer(c, np.int32) if len(c) else np.empty(0, np.int32)) for c in flat]
+            return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.StructArray.from_arrays(columns, ["id", "s", "e"]))
 
         self._run = run
 

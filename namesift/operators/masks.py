@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -18,12 +19,17 @@ SPANS = ArrayType(StructType([StructField("s", IntegerType()), StructField("e",
 IGNORE = -100
 
 
-@F.pandas_udf(SPANS)
-def _spans(texts: pd.Series, names: pd.Series) -> pd.Series:
-    """One automaton for the names of all rows of a batch; each text is read once."""
-    finder = NameFinder({n for keys in names if keys is not None for n in keys})
-    found = [[] if t is None or keys is None else finder.spans(t, list(keys)) for t, keys in zip(texts, names, strict=True)]
-    return pd.Series([[{"s": s, "e": e} for s, e in spans] for spans in found])
+@F.arrow_udf(SPANS)
+def _spans(texts: pa.Array, names: pa.Array) -> pa.Array:
+    """One automaton for the names of all rows of a batch; each text is read once, places lie in flat arrays."""
+    keys = [x.as_py() or [] for x in names]
+    finder, flat, ends = NameFinder({n for own in keys for n in own}), ([], []), [0]
+    for t, own in zip(texts, keys, strict=True):
+        for s, e in finder.spans(t.as_py() or "", own):
+            flat[0].append(s)
+            flat[1].append(e)
+        ends.append(len(flat[0]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in flat], ["s", "e"]))
 
 
 def find_names(text: Column, names: Column) -> Column:

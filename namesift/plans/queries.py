@@ -39,8 +39,11 @@ SELECT coalesce(source, 'Totals') AS source, count(*) FILTER (ok) AS valid, coun
        round(100.0::DOUBLE * count(*) FILTER (NOT ok) / nullif(count(*), 0), 6) AS rate FROM f GROUP BY GROUPING SETS ((source), ())""")
 def hallucination_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid and hallucinated mentions of each source and in all, with the rate."""
-    flagged = classify.flag(T.mentions(spark, sf_dir).select("source", "name"), T.good_names(spark, sf_dir))
-    x = flagged.groupingSets([["source"], []], "source").agg(F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("hallucinated"), F.grouping("source").alias("g"))
+    # equal names of a source are one row before they are looked up
+    named = T.mentions(spark, sf_dir).groupBy("source", "name").agg(F.count("*").alias("n"))
+    flagged = classify.flag(named, T.good_names(spark, sf_dir))
+    of = lambda on: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0))
+    x = flagged.groupingSets([["source"], []], "source").agg(of(F.col("is_valid")).alias("valid"), of(~F.col("is_valid")).alias("hallucinated"), F.grouping("source").alias("g"))
     return x.select(F.when(F.col("g") == 1, "Totals").otherwise(F.col("source")).alias("source"), "valid", "hallucinated", r6(report.rate(F.col("hallucinated"), F.col("valid"))).alias("rate"))
 
 
