@@ -67,8 +67,15 @@ def prose_cut(t: Column) -> Column:
     return out
 
 
+def _may_be_digit(x: Column) -> Column:
+    """Whether a text's first sign is a digit, or one beyond ASCII, which may be one."""
+    code = F.ascii(x)
+    return code.between(48, 57) | (code > 127)
+
+
 def _bare(line: Column) -> Column:
-    return strip(F.regexp_replace(line, r"(?U)^\s*\d+[.)]\s*", ""))
+    # few lines begin with a number, so few meet the pattern
+    return strip(F.when(_may_be_digit(strip(line)), F.regexp_replace(line, r"(?U)^\s*\d+[.)]\s*", "")).otherwise(line))
 
 
 def loop_start(t: Column) -> Column:
@@ -76,11 +83,10 @@ def loop_start(t: Column) -> Column:
 
     Three repeats of a cycle c are there exactly when lines 1 to 2c equal lines c+1 to 3c.
     """
-    lines = F.split(t, "\n", -1)
-    full = F.filter(F.transform(lines, _bare), lambda x: x != "")
-    n = F.size(full)
-    cycles = F.when(n >= 9, F.sequence(F.lit(3), F.least(F.lit(20), F.floor(n / 3)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.transform(F.array(F.struct(full.alias("l"), cycles.alias("c"))), lambda s: F.get(F.filter(s["c"], lambda c: F.slice(s["l"], F.lit(1), 2 * c) == F.slice(s["l"], c + 1, 2 * c)), F.lit(0))), lambda c: c.isNotNull())
+    def first_cycle(full: Column) -> Column:
+        n = F.size(full)
+        cycles = F.when(n >= 9, F.sequence(F.lit(3), F.least(F.lit(20), F.floor(n / 3)).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.get(F.filter(cycles, lambda c: F.slice(full, F.lit(1), 2 * c) == F.slice(full, c + 1, 2 * c)), F.lit(0))
 
     def walk(s: Column) -> Column:
         """Characters up to the end of the first cycle."""
@@ -90,9 +96,10 @@ def loop_start(t: Column) -> Column:
             lambda a, x: F.when(a["seen"] >= s["c"], a).otherwise(F.struct((a["at"] + F.length(x) + 1).alias("at"), seen(a, x).alias("seen"))), lambda a: a["at"],
         )
 
-    # the cycle as a lambda's variable, or each line would look for it again
-    ends = F.transform(F.filter(F.array(F.struct(lines.alias("l"), F.get(found, F.lit(0)).alias("c"))), lambda s: s["c"].isNotNull()), walk)
-    return F.coalesce(F.get(ends, F.lit(0)), F.lit(0))
+    # lines, what is left of them and the cycle as variables of lambdas, so that each is made once
+    one = F.transform(F.array(F.split(t, "\n", -1)), lambda lines: F.struct(lines.alias("l"), F.filter(F.transform(lines, _bare), lambda x: x != "").alias("f")))
+    cycled = F.filter(F.transform(one, lambda s: F.struct(s["l"].alias("l"), first_cycle(s["f"]).alias("c"))), lambda s: s["c"].isNotNull())
+    return F.coalesce(F.get(F.transform(cycled, walk), F.lit(0)), F.lit(0))
 
 
 def cut_loop(t: Column) -> Column:
@@ -119,9 +126,16 @@ def free_form(t: Column) -> Column:
     return F.split(x, ",", -1)
 
 
-def _token(part: Column) -> Column:
-    """A part's first word without what stands around names."""
-    x = F.btrim(strip(part), F.lit(".,;:!?'\"()[]{}"))
+def _tokens(parts: Column) -> Column:
+    """Each part's first word without what stands around names; most are a bare word once trimmed."""
+    return F.transform(F.transform(parts, lambda part: F.btrim(strip(part), F.lit(".,;:!?'\"()[]{}"))), _token)
+
+
+def _token(x: Column) -> Column:
+    return F.when(x.rlike("^[a-zA-Z_][a-zA-Z0-9_.-]*$"), x).otherwise(_first_word(x))
+
+
+def _first_word(x: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, r"(?U)^[-*]\s*", ""), r"(?U)^\d+[.)]\s*", "")
     x = F.replace(F.replace(x, F.lit(" and "), F.lit(" ")), F.lit(" or "), F.lit(" "))
     return F.regexp_replace(F.regexp_extract(x, rf"(?s)^{SPACE}*([^{SPACE[1:]}+)", 1), r"[^a-zA-Z0-9\-_.]", "")
@@ -129,7 +143,7 @@ def _token(part: Column) -> Column:
 
 def clean_tokens(parts: Column, words: Words) -> Column:
     """The names in the parts of an array, each made once before it is judged."""
-    return F.array_compact(F.transform(F.transform(parts, _token), lambda x: _name(x, words)))
+    return F.array_compact(F.transform(_tokens(parts), lambda x: _name(x, words)))
 
 
 def clean_token(part: Column, words: Words) -> Column:

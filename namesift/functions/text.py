@@ -11,12 +11,14 @@ from pyspark.sql.types import StringType
 
 #: Unicode white space, with the four separators \x1c to \x1f.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same signs, one after another.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NULL_WORDS = ("nan", "none", "null")
 
 
 def strip(x: Column) -> Column:
     """White space off both ends."""
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def without_null_words(x: Column) -> Column:
