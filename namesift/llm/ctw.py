@@ -214,22 +214,22 @@ def _bit_counts(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(log_kt: np.ndarray, log_children: np.ndarray, ones: np.ndarray, zeros: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """P(next bit is 1) of a node, weighing its own estimate against that of the context below it."""
+    """P(next bit is 1) of a node, weighing its own estimate against that of the context below it; P(next bit is 0) with ones and zeros in each other's place."""
     own = 1 / (1 + np.exp(np.clip(log_children - log_kt, -700, 700)))
     return own * (ones + 0.5) / (ones + zeros + 1) + (1 - own) * below
 
 
 def _subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Depths two and one under one last byte: the mixed predictions, and what depth none needs."""
+    """Depths two and one under one last byte: the mixed predictions as log odds, which hold both bits' however small, and what depth none needs."""
     counts = np.zeros(65536, np.int64)
     for a, b in zip(pdf["a"], pdf["b"], strict=True):
         counts[_unpack(a, np.uint16)] += _unpack(b, np.int64)
     z2, o2 = _bit_counts(counts.reshape(256, 256).astype(float))
     z1, o1 = z2.sum(0), o2.sum(0)
     children, kt = _kt(z2, o2).sum(0), _kt(z1, o1)
-    p = _mixed(kt, children, o1, z1, (o2 + 0.5) / (o2 + z2 + 1))
+    one, zero = (_mixed(kt, children, n1, z1 + o1 - n1, (n2 + 0.5) / (o2 + z2 + 1)) for n1, n2 in ((o1, o2), (z1, z2)))
     weighted = np.logaddexp(kt, children) - math.log(2)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "p": [_pack(p.astype(np.float32))], "w": [np.stack([weighted, z1, o1]).tobytes()]})
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "p": [_pack(np.log(one / zero).astype(np.float32))], "w": [np.stack([weighted, z1, o1]).tobytes()]})
 
 
 def predictions(subtrees: list) -> np.ndarray:
@@ -240,15 +240,15 @@ def predictions(subtrees: list) -> np.ndarray:
         weighted, z, o = weighted + w[0], z + w[1], o + w[2]
     kt = _kt(z, o)
     table = np.empty((256, 256, 256), np.float32)
-    none = np.full((256, 256), 0.5, np.float32)
+    even = np.zeros((256, 256))
     by = {r["part"]: r["p"] for r in subtrees}
     last = None
     for c in range(256):
         if c not in by and last is not None:
             table[c] = table[last]
             continue
-        one = _mixed(kt, weighted, o, z, _unpack(by[c], np.float32).reshape(256, 256) if c in by else none)
-        logs = np.stack([np.log10(1 - one), np.log10(one)])
+        odds = _unpack(by[c], np.float32).reshape(256, 256).astype(float) if c in by else even
+        logs = np.log10(np.stack([_mixed(kt, weighted, z, o, 1 / (1 + np.exp(odds))), _mixed(kt, weighted, o, z, 1 / (1 + np.exp(-odds)))]))
         table[c] = sum(logs[_BITS[:, i], :, _NODES[:, i]].T for i in range(8))
         if c not in by:
             last = c

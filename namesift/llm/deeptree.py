@@ -4,7 +4,8 @@ A key is (last byte, the byte before it, ..., the coded byte) as one number. Eac
 with their counts in training texts, dealt to parts by a hash of the last three bytes of context. A part has all keys
 under its contexts, so it weighs the depths from three on by itself. Depths two, one and none are weighed in at most
 256 groups from what the parts hand up, and come to each prediction as p = a + b * (prediction of depth three), where
-a and b depend on the last two bytes alone. Each block gets back one code length for each of its keys.
+a and b depend on the last two bytes alone. A zero has an a of its own: one less p is nothing, or below it, where counts
+reach some ten millions. Each block gets back one code length for each of its keys.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def part_top(depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def last_byte(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Depths two and one under one last byte: a and b of each second byte, and what depth none needs."""
+    """Depths two and one under one last byte: a of ones and of zeros and b of each second byte, and what depth none needs."""
     from namesift.llm.ctw import _kt
 
     z2, o2, children2 = np.zeros((3, 65536))
@@ -185,21 +186,22 @@ def last_byte(pdf: pd.DataFrame) -> pd.DataFrame:
     own2 = 1 / (1 + np.exp(np.clip(children2 - kt2, -700, 700)))
     children1, kt1 = (np.logaddexp(kt2, children2) - _LN2).sum(0), _kt(z1, o1)
     own1 = 1 / (1 + np.exp(np.clip(children1 - kt1, -700, 700)))
-    pred1, pred2 = (o1 + 0.5) / (o1 + z1 + 1), (o2 + 0.5) / (o2 + z2 + 1)
     second = np.flatnonzero((z2 + o2).any(1))
-    a = own1 * pred1 + (1 - own1) * own2[second] * pred2[second]
-    b = (1 - own1) * (1 - own2[second])
     # the last row is for second bytes that were not seen: depth two predicts evenly
-    a, b = np.vstack([a, own1 * pred1 + (1 - own1) * 0.5]), np.vstack([b, np.zeros(256)])
+    b, a = np.vstack([(1 - own1) * (1 - own2[second]), np.zeros(256)]), []
+    for n1, n2 in ((o1, o2), (z1, z2)):
+        pred1, pred2 = (n1 + 0.5) / (o1 + z1 + 1), (n2 + 0.5) / (o2 + z2 + 1)
+        a.append(np.vstack([own1 * pred1 + (1 - own1) * own2[second] * pred2[second], own1 * pred1 + (1 - own1) * 0.5]))
     w = np.stack([np.logaddexp(kt1, children1) - _LN2, z1, o1])
-    return pd.DataFrame({"last": pdf["last"].iloc[:1].astype("int32"), "second": [second.astype(np.uint8).tobytes()], "p": [zlib.compress(np.stack([a, b]).astype(np.float32).tobytes(), 1)], "w": [w.tobytes()]})
+    return pd.DataFrame({"last": pdf["last"].iloc[:1].astype("int32"), "second": [second.astype(np.uint8).tobytes()], "p": [zlib.compress(np.stack([*a, b]).astype(np.float32).tobytes(), 1)], "w": [w.tobytes()]})
 
 
 class Upper(NamedTuple):
-    """a and b of depths none to two: row[last byte, second byte] of tables with a column for each node."""
+    """a of ones, a of zeros and b of depths none to two: row[last byte, second byte] of tables with a column for each node."""
 
     row: np.ndarray
-    a: np.ndarray
+    ones: np.ndarray
+    zeros: np.ndarray
     b: np.ndarray
 
 
@@ -211,18 +213,19 @@ def upper(rows: list) -> Upper:
         w, z, o = np.frombuffer(r["w"], float).reshape(3, 256)
         w0, z0, o0 = w0 + w, z0 + z, o0 + o
     own = 1 / (1 + np.exp(np.clip(w0 - _kt(z0, o0), -700, 700)))
-    pred = (o0 + 0.5) / (o0 + z0 + 1)
+    preds = [(x + 0.5) / (o0 + z0 + 1) for x in (o0, z0)]
     row = np.zeros((256, 256), np.int32)
-    a, b, n = [(own * pred + (1 - own) * 0.5)[None]], [np.zeros((1, 256))], 1
+    a, b, n = [[(own * pred + (1 - own) * 0.5)[None]] for pred in preds], [np.zeros((1, 256))], 1
     for r in rows:
-        p = np.frombuffer(zlib.decompress(r["p"]), np.float32).reshape(2, -1, 256)
+        p = np.frombuffer(zlib.decompress(r["p"]), np.float32).reshape(3, -1, 256)
         second = np.frombuffer(r["second"], np.uint8)
         row[r["last"]] = n + second.size
         row[r["last"], second] = n + np.arange(second.size)
         n += second.size + 1
-        a.append(own * pred + (1 - own) * p[0])
-        b.append((1 - own) * p[1])
-    return Upper(row, np.vstack(a).astype(np.float32), np.vstack(b).astype(np.float32))
+        for x, pred, own_p in zip(a, preds, p, strict=False):
+            x.append(own * pred + (1 - own) * own_p)
+        b.append((1 - own) * p[2])
+    return Upper(row, *(np.vstack(x).astype(np.float32) for x in (*a, b)))
 
 
 def part_scores(depth: int, model) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -235,8 +238,8 @@ def part_scores(depth: int, model) -> Callable[[pd.DataFrame], pd.DataFrame]:
         byte, total = (keys & np.uint64(255)).astype(np.int64), np.zeros(keys.size)
         for i, p in enumerate(part.ones):
             node = (1 << i) | (byte >> (8 - i))
-            one = up.a[row, node] + up.b[row, node] * p
-            total += np.log10(np.where((byte >> (7 - i)) & 1, one, 1 - one))
+            bit, b = ((byte >> (7 - i)) & 1).astype(bool), up.b[row, node]
+            total += np.log10(np.where(bit, up.ones[row, node] + b * p, up.zeros[row, node] + b * (1 - p)))
         total = total.astype(np.float32)
         return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "s": [pack(total[np.searchsorted(keys, x)]) for x in own]})
 

@@ -87,3 +87,39 @@ def test_empty(spark):
     i = next(k for k in range(100) if remainder(k, 7) == 2)
     r = ctw.score(spark.createDataFrame([(i, "ab", "", "", 0), (i, "ab", "", "", 0)], DOCS), depth=6).collect()
     assert len(r) == 2 and r[0].train_tokens == 0 and abs(r[0].score - 24 * math.log10(0.5)) < 1e-4
+
+
+@pytest.mark.parametrize("times", [1, 30_000, 4_000_000])
+def test_common_contexts_leave_room_for_others(times):
+    """However often one byte followed another, the 256 bytes that may come next have probabilities that sum to one; none is missing."""
+    import pandas as pd
+
+    from namesift.llm import deeptree
+
+    depth, context = 6, [b"ababab", b"xxabab", b"aba\0\0\0", b"qqqqqq"]
+    seen, n = np.unique(deeptree.keys_of([b"ab" * 500], [b"\0" * depth], [True], depth)[0], return_counts=True)
+    above = deeptree.keys_of([b"a"] * 4, context, [False] * 4, depth)[0] >> np.uint64(8) << np.uint64(8)
+    asked = (above[:, None] | np.arange(256, dtype=np.uint64)).ravel()
+    keys = np.unique(np.concatenate([seen, asked]))
+    counts = np.zeros(keys.size, np.uint32)
+    counts[np.searchsorted(keys, seen)] = n * times
+    pdf = pd.DataFrame({"block": [0], "part": [0], "a": [deeptree.pack(keys)], "b": [deeptree.pack(counts)]})
+
+    class Model:
+        value = deeptree.upper([g.iloc[0] for _, g in deeptree.part_top(depth)(pdf).groupby("last") for g in [deeptree.last_byte(g)]])
+
+    score = deeptree.unpack(deeptree.part_scores(depth, Model)(pdf)["s"].iloc[0], np.float32)
+    assert np.isfinite(score).all() and score.max() < 1e-6
+    p = 10.0 ** score[np.searchsorted(keys, asked)].astype(float).reshape(4, 256)
+    assert np.abs(p.sum(1) - 1).max() < 1e-5
+    assert p.min() > 0 and p[0, 98] < 1e-3 < 0.99 < p[0, 97]
+
+
+def test_common_pairs_leave_room_for_others():
+    """The same of the one table for contexts of two bytes."""
+    import pandas as pd
+
+    pairs = [(97, 98, 97), (98, 97, 98)]
+    sub = [ctw._subtree(pd.DataFrame({"part": [c], "a": [ctw._pack(np.array([256 * d + x], np.uint16))], "b": [ctw._pack(np.array([3 * 10**9], np.int64))]})).iloc[0] for c, d, x in pairs]
+    t = ctw.predictions(sub).reshape(256, 256, 256)[[97, 98, 97, 5], [98, 97, 5, 7]].astype(float)
+    assert np.isfinite(t).all() and np.abs((10.0**t).sum(1) - 1).max() < 1e-5
