@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from namesift.functions import imports, lists, packages
 from namesift.functions.text import normalize_pip, normalize_python_package
+from namesift.sources.scratch import written
 
 #: Bytes, by the optimizer's estimate, of a list that is broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -32,12 +33,14 @@ def _small(names: DataFrame) -> bool:
     return int(str(names._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
 
 
-def _salted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _salted(rows: DataFrame, name: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """rows with __salt (0 but for hot names), and the hot names (__hot) with all salts; planned, not run here.
 
-    The salt comes from a row's values and its task, so that a task that runs again deals its rows out alike.
+    counts (__hot, __n) are made here where they are not given. The salt comes from a row's values and its task, so that
+    a task that runs again deals its rows out alike.
     """
-    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__hot")).agg(F.count("*").alias("__n"))
+    if counts is None:
+        counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__hot")).agg(F.count("*").alias("__n"))
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).scalar()
     hot = counts.where(F.col("__n") * HOT > total).select("__hot")  # fewer than HOT rows
     plain = [f"`{c}`" for c, t in rows.dtypes if "map<" not in t and t != "variant"]
@@ -47,9 +50,9 @@ def _salted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _over_salts(names: DataFrame, hot: DataFrame) -> DataFrame:
-    """names (l_name) with l_salt: 0, and all others too for hot names."""
+    """names (l_name and others) with l_salt: 0, and all others too for hot names."""
     x = names.join(F.broadcast(hot), F.col("l_name") == F.col("__hot"), "left")
-    return x.select("l_name", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("l_salt"))
+    return x.select(*names.columns, F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("l_salt"))
 
 
 def mentions(df: DataFrame, key: str, contexts: dict[str, str]) -> DataFrame:
@@ -120,13 +123,30 @@ def pip_numbers(df: DataFrame, key: str, whitelist: DataFrame, answers: str = "A
 
 
 def classify_imports(df: DataFrame, key: str, modules: str, whitelist: DataFrame, false_positives: DataFrame | None = None, standard: list[str] | None = None) -> DataFrame:
-    """df with import_valid and import_hallucinated of an array of modules: standard modules are passed over, packages are looked up by their own names."""
+    """df with import_valid and import_hallucinated of an array of modules: standard modules are passed over, packages are looked up by their own names.
+
+    Where a list is too large to be broadcast, the modules are written, so that code is parsed once, and each name is
+    looked up once and not wherever it stands.
+    """
     spark = df.sparkSession
     std = spark.createDataFrame([(m,) for m in (imports.standard_modules() if standard is None else standard)], "std string")
     alias = F.create_map(*(F.lit(x) for kv in imports.ALIASES.items() for x in kv))
     x = df.withColumn("__mods", F.filter(F.array_distinct(F.coalesce(F.col(modules), lists.empty())), lambda m: m.isNotNull() & (m != "")))
-    rows = x.select(key, F.posexplode("__mods").alias("pos", "name")).join(F.broadcast(std), F.col("name") == F.col("std"), "left_anti")
-    flagged = flag(rows, whitelist, false_positives, normalize_python_package(F.coalesce(F.try_element_at(alias, F.col("name")), F.col("name"))))
+    found, match = x.select(key, "__mods"), normalize_python_package(F.coalesce(F.try_element_at(alias, F.col("name")), F.col("name")))
+    if large := not all(_small(d) for d in (whitelist, false_positives) if d is not None):
+        found = written(found, "modules")
+    rows = found.select(key, F.posexplode("__mods").alias("pos", "name")).join(F.broadcast(std), F.col("name") == F.col("std"), "left_anti")
+    if not large:
+        flagged = flag(rows, whitelist, false_positives, match)
+    else:
+        used = written(rows.groupBy("name").agg(F.count("*").alias("__n")), "names")
+        own = written(flag(used, whitelist, false_positives, match).select(F.col("name").alias("l_name"), "is_valid"), "names-flagged")
+        same = F.col("name") == F.col("l_name")
+        if _small(own):
+            flagged = rows.join(F.broadcast(own), same)
+        else:
+            dealt, hot = _salted(rows, "name", used.select(F.col("name").alias("__hot"), "__n"))
+            flagged = dealt.join(_over_salts(own, hot), same & (F.col("__salt") == F.col("l_salt")))
     side = lambda v: F.transform(F.array_sort(F.collect_list(F.when(F.col("is_valid") == v, F.struct("pos", "name")))), lambda s: s["name"])
     by = flagged.groupBy(F.col(key).alias("__of")).agg(side(True).alias("import_valid"), side(False).alias("import_hallucinated"))
     x = x.drop("__mods", "import_valid", "import_hallucinated").join(by, F.col(key) == F.col("__of"), "left").drop("__of")

@@ -91,7 +91,8 @@ def import_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     x = d.withColumn("t", F.array_join(F.transform("w", line), "\n"))
     good = T.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    known = d.join(good, "doc_id", "left_semi").where(F.size("w") > 0).select(F.replace(F.get("w", F.lit(0)), F.lit("_"), F.lit("-")).alias("name")).distinct()
+    first = T.table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi").select(F.regexp_extract("text", "[A-Za-z]{3,}", 0).alias("w")).where("w <> ''")
+    known = first.select(F.concat(F.lit("m-"), F.lower("w")).alias("name")).distinct()
     x = classify.classify_imports(x.select("doc_id", imports.top_level_imports(F.col("t")).alias("modules")), "doc_id", "modules", known, standard=[])
     return x.select("doc_id", F.size("import_valid").cast("long").alias("n_valid"), F.size("import_hallucinated").cast("long").alias("n_hallucinated")).where("n_valid + n_hallucinated > 0")
 
