@@ -36,6 +36,7 @@ class _Powers:
     @classmethod
     def need(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if cls.up.size < n:
+            n = 1 << (n - 1).bit_length()  # each worker keeps them, so no more than twice what its texts need
             inverse = np.uint64(pow(int(_P), -1, 1 << 64))
             with np.errstate(over="ignore"):
                 cls.up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, _P, np.uint64))]) if n > 1 else cls.up
@@ -59,7 +60,7 @@ def words(raw: list[bytes], lower: bool) -> Words:
     space = _SPACE[buf]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     start, end = edge[::2], edge[1::2]
-    up, down = _Powers.need(max(buf.size, BLOCK + 2))
+    up, down = _Powers.need(buf.size)
     with np.errstate(over="ignore"):
         total = np.cumsum(buf * up[: buf.size], dtype=np.uint64)
         # a space stands before every word but one at 0, so the sum up to the word ends at start - 1

@@ -26,6 +26,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\
 NOT_PLAIN = r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
 #: Words, and texts between blanks, kept with their tokens in one Python worker.
 CACHED_WORDS, CACHED_CHUNKS = 700_000, 400_000
+#: Bytes of words kept with their packed ids, and what each takes besides its letters and ids: a worker keeps them through later stages.
+CACHED_BYTES, _KEPT = 64 << 20, 190
 #: Bytes of a word whose merges are made together with those of others; a rank past all merges.
 SHORT, _LATE = 48, 1 << 60
 #: Characters of a text that are cut into words at once.
@@ -85,6 +87,7 @@ class Codec:
         self.chunk_ids: dict[str, str] = {}
         self.chunk_changed: dict[str, bytes] = {}
         self.packed: dict[str, bytes] = {}
+        self.packed_bytes = 0
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
@@ -312,11 +315,13 @@ class Codec:
                 continue
             words = self.pre_tokens(piece)
             new = [w for w in set(words) if w not in self.packed]
-            if len(self.packed) + len(new) > CACHED_WORDS:
+            if self.packed_bytes > CACHED_BYTES:
                 self.packed.clear()
+                self.packed_bytes = 0
                 new = list(set(words))
             for w, ids in zip(new, self.words(new)[0], strict=True):
                 self.packed[w] = np.array(ids, np.int32).tobytes()
+                self.packed_bytes += _KEPT + len(w) + 4 * len(ids)
             out.append(b"".join(map(self.packed.__getitem__, words)))
         return np.frombuffer(b"".join(out), np.int32)
 

@@ -20,7 +20,7 @@ from namesift.llm.common import id_remainder, small_batches
 
 _FOLDS = 64
 _TERMS = _FOLDS * _FOLDS + 2
-#: Bytes of text whose counts are held at once; each text has _TERMS counts.
+#: Bytes of texts and their counts that are held at once (a longer text alone); each text has _TERMS counts.
 _BYTES = 1 << 20
 SHINGLE = 5
 
@@ -163,7 +163,7 @@ def score(docs: DataFrame, voter: Voter, threshold: float = 0.7, out: tuple[str,
             start = 0
             while start < len(raw):
                 end, size = start, 0
-                while end < len(raw) and (end == start or size + len(raw[end]) + 4 * _TERMS <= _BYTES * 4):
+                while end < len(raw) and (end == start or size + len(raw[end]) + 4 * _TERMS <= _BYTES):
                     size += len(raw[end]) + 4 * _TERMS
                     end += 1
                 scores += sent.value.vote(terms(raw[start:end])).tolist()
